@@ -131,7 +131,9 @@ def top_k(
     part = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col(n).cast("long")).cast("int")
     rows = rows.withColumn("shard", part("shards", 1))
     queries = rows.where(F.col("vec_id") % every == 0).withColumn("block", part("blocks", 2))
-    queries = queries.select(F.col("vec_id").alias("query_id"), "v", "dims", "shards", "block", F.col("shard").alias("home"))
+    queries = queries.select(
+        F.col("vec_id").alias("query_id"), F.col("shard").alias("home"), *[F.col(c).alias(c) for c in ("v", "dims", "shards", "block")]
+    )
     key = ["dims", "shard", "block"]
     # A shard goes once to each block of queries: bounded tasks, and no pair of rows is ever written.
     dealt = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*key, "vec_id", "v")
