@@ -5,9 +5,9 @@ arbitrary places; all leaves are encoded together (the tokenizer's thread pool m
 concatenated pairwise up the tree. At each join a window around the seam is encoded again and grows until both sides
 agree exactly:
 
-* where white space surrounds the seam, the window runs from one white-space boundary to another.  No pre-token and
-  no normalisation of this tokenizer family crosses white space, and the window must reproduce, token for token and
-  offset for offset, what each half had next to the window's edge (at least one whole word on each side);
+* where white space surrounds the seam, the window runs over a few words of each half.  No pre-token and no
+  normalisation of this tokenizer family crosses white space (so a word's ids can be remembered), and the window must
+  reproduce, word for word and id for id, what each half had at the window's edges;
 * inside one unsplit word, the window is a slice of the word's symbols.  It must reproduce the first of its tokens
   from the left half and the last from the right half.  A sequence of tokens is the BPE encoding of a word exactly if
   each adjacent pair is (Berglund and van der Merwe; the property is checked by tests against the library), and each
@@ -21,12 +21,17 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from bisect import bisect_left, bisect_right
+import re
+from collections.abc import Iterable
+from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame
 
 from .common import map_columns
 
+#: White space to Python, but not to the tokenizers' patterns.
+CONTROLS = re.compile("[\x1c-\x1f]")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -104,7 +109,8 @@ class WordBPE:
 class Codec:
     """Encodes and decodes as the tokenizers library does with the given file."""
 
-    def __init__(self, path: str, leaf_chars: int = 8192, leaf_symbols: int = 1024):
+    def __init__(self, path: str, leaf_chars: int = 8192, leaf_symbols: int = 1024, memo: int = 200_000):
+        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -113,26 +119,59 @@ class Codec:
         self.lib.no_padding()
         self.lib.no_truncation()
         self.leaf, self.leaf_symbols = leaf_chars, leaf_symbols
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.most = memo
         model = spec["model"]
         self.vocab = model["vocab"]
         self.word = WordBPE(self.vocab, model["merges"], model.get("end_of_word_suffix") or "")
         self.added = [x["content"] for x in spec["added_tokens"]]
         #: White space is dropped before the merges; only then are windows between white space exact.
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        self.splits = any(x["type"] == "Split" and x.get("invert") and "\\s" in json.dumps(x) for x in steps)
+        found = [x["pattern"]["Regex"] for x in steps if x["type"] == "Split" and x.get("invert") and "\\s" in x["pattern"].get("Regex", "")]
+        self.splits = bool(found)
+        lowers = '"Lowercase"' in json.dumps(spec.get("normalizer"))
+        self.split = regex.compile(found[0]) if found and lowers else None
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         out: list = [None] * len(texts)
-        short = [i for i, t in enumerate(texts) if len(t) <= self.leaf or not self.splits]
-        for i, e in zip(short, self.lib.encode_batch([texts[i] for i in short], add_special_tokens=False), strict=True):
-            out[i] = e.ids
+        plain = []
         for i, t in enumerate(texts):
-            if out[i] is None:
+            if len(t) > self.leaf and self.splits:
                 out[i] = self.encode_long(t)
+            elif self.splits and not CONTROLS.search(t) and not any(x in t for x in self.added):
+                plain.append(i)
+        words = {i: texts[i].split() for i in plain}
+        self.learn(w for i in plain for w in words[i])
+        for i in plain:
+            out[i] = list(chain.from_iterable(map(self.memo.__getitem__, words[i])))
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.lib.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
         return out
 
-    def pieces(self, text: str) -> list[tuple[int, int]]:
-        """Leaves of the tree of halves."""
+    def learn(self, words: Iterable[str]) -> None:
+        """Have the ids of each word in the memo: white space bounds normalisation, pre-tokens and merges."""
+        if len(self.memo) > self.most:
+            self.memo = {}
+        memo, pieces = self.memo, self.pieces
+        if len(pieces) > self.most:
+            pieces = self.pieces = {}
+        for w in set(words).difference(memo):
+            if self.split is None or max(w) >= "\u0250":
+                memo[w] = tuple(self.lib.encode(w, add_special_tokens=False).ids)
+                continue
+            ids: list[int] = []
+            for p in self.split.findall(w.lower()):  # Latin letters: lower case and classes as the tokenizer has them
+                got = pieces.get(p)
+                if got is None:
+                    shown = p if p.isascii() else "".join([self.word.bytes[b] for b in p.encode()])
+                    got = pieces[p] = tuple([t.id for t in self.lib.model.tokenize(shown)])
+                ids += got
+            memo[w] = tuple(ids)
+
+    def leaves(self, text: str) -> list[tuple[int, int]]:
+        """Leaves of the tree of halves, cut at arbitrary places."""
         out, todo = [], [(0, len(text))]
         while todo:
             lo, hi = todo.pop()
@@ -146,6 +185,8 @@ class Codec:
     def encode_long(self, text: str) -> list[int]:
         if any(x in text for x in self.added):  # strings of special tokens cut the text before anything else
             return self.around_added(text)
+        if CONTROLS.search(text):  # white space to Python only
+            return self.lib.encode(text, add_special_tokens=False).ids
         runs = self.long_words(text)
         if runs:
             ids, at = [], 0
@@ -154,14 +195,15 @@ class Codec:
                 ids += self.encode_run(text[lo:hi])
                 at = hi
             return ids + (self.encode([text[at:]])[0] if at < len(text) else [])
-        spans = self.pieces(text)
-        found = self.lib.encode_batch([text[a:b] for a, b in spans], add_special_tokens=False)
-        level = [(a, b, e.ids, [(x + a, y + a) for x, y in e.offsets]) for (a, b), e in zip(spans, found, strict=True)]
+        spans = self.leaves(text)
+        words = [text[a:b].split() for a, b in spans]
+        self.learn(w for own in words for w in own)
+        level = [(a, b, own, [self.memo[w] for w in own]) for (a, b), own in zip(spans, words, strict=True)]
         while len(level) > 1:
             level = [
                 self.join(text, level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)
             ]
-        return level[0][2]
+        return list(chain.from_iterable(level[0][3]))
 
     def around_added(self, text: str) -> list[int]:
         parts, at = [], 0
@@ -211,64 +253,65 @@ class Codec:
         return out
 
     def join(self, text: str, left: tuple, right: tuple) -> tuple:
-        """Encode growing windows around the seam until both halves agree with the window at its edges."""
-        (lo, mid, ids, offs), (_, hi, ids2, offs2) = left, right
-        starts, ends = [x for x, _ in offs], [y for _, y in offs2]
-        width = 64
+        """Encode growing windows around the seam until both halves agree with the window at its edges.
+
+        The window runs over ``width`` words of each half; it agrees if its first word and ids are the left half's
+        there and its last ones the right half's, which fails while a word that the seam cuts is at an edge.
+        """
+        lo, mid, words, ids = left
+        _, hi, words2, ids2 = right
+        width = 2
         while True:
-            a, b = max(lo, mid - width), min(hi, mid + width)
-            while a > lo and not (text[a - 1].isspace() and not text[a].isspace()):
-                a -= 1
-            while b < hi and not (text[b].isspace() and not text[b - 1].isspace()):
-                b += 1
-            e = self.lib.encode(text[a:b], add_special_tokens=False)
-            at = [(x + a, y + a) for x, y in e.offsets]
-            i, j = bisect_left(starts, a), bisect_right(ends, b)
-            edge, start2 = self.word_end(text, a, mid), self.word_start(text, b, mid)
-            agree_left = a == lo or self.same(ids, offs, e.ids, at, a, edge)
-            agree_right = b == hi or self.same(ids2, offs2, e.ids, at, start2, b)
-            if agree_left and agree_right:
-                return lo, hi, ids[:i] + e.ids + ids2[j:], offs[:i] + at + offs2[j:]
+            a, b = min(width, len(words)), min(width, len(words2))
+            start = self.back(text, lo, mid, a) if a < len(words) else lo
+            end = self.forth(text, mid, hi, b) if b < len(words2) else hi
+            own = text[start:end].split()
+            self.learn(own)
+            got = [self.memo[w] for w in own]
+            i, j = len(words) - a, b
+            agree_left = start == lo or (own and own[0] == words[i] and got[0] == ids[i])
+            agree_right = end == hi or (own and own[-1] == words2[j - 1] and got[-1] == ids2[j - 1])
+            if agree_left and agree_right and (len(own) > 1 or (start, end) == (lo, hi)):
+                return lo, hi, words[:i] + own + words2[j:], ids[:i] + got + ids2[j:]
             width *= 2
 
     @staticmethod
-    def word_end(text: str, a: int, mid: int) -> int:
-        while a < mid and not text[a].isspace():
-            a += 1
-        return a if a < mid else -1
+    def back(text: str, lo: int, mid: int, n: int) -> int:
+        """Place where the n-th word before the seam starts."""
+        at = mid
+        for _ in range(n):
+            while at > lo and text[at - 1].isspace():
+                at -= 1
+            while at > lo and not text[at - 1].isspace():
+                at -= 1
+        return at
 
     @staticmethod
-    def word_start(text: str, b: int, mid: int) -> int:
-        while b > mid and not text[b - 1].isspace():
-            b -= 1
-        return b if b > mid else -1
-
-    @staticmethod
-    def same(ids: list, offs: list, ids2: list, offs2: list, lo: int, hi: int) -> bool:
-        """Both have the same tokens within [lo, hi), and there are some."""
-        if lo < 0 or hi < 0:
-            return False
-
-        def cut(i: list, o: list) -> list:
-            first = bisect_left(o, (lo, lo))
-            out = []
-            while first < len(o) and o[first][1] <= hi:
-                out.append((i[first], o[first]))
-                first += 1
-            return out
-
-        x = cut(ids, offs)
-        return bool(x) and x == cut(ids2, offs2)
+    def forth(text: str, mid: int, hi: int, n: int) -> int:
+        """Place where the n-th word after the seam ends."""
+        at = mid
+        for _ in range(n):
+            while at < hi and text[at].isspace():
+                at += 1
+            while at < hi and not text[at].isspace():
+                at += 1
+        return at
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.lib.decode_batch(ids, skip_special_tokens=False)
 
 
+@lru_cache(maxsize=2)
+def shared_codec(path: str, leaf_chars: int) -> Codec:
+    """One codec, with its memo, for all tasks of a worker process."""
+    return Codec(path, leaf_chars)
+
+
 def make(path: str, leaf_chars: int):
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core a task; Spark runs the tasks in parallel
-    codec = Codec(path, leaf_chars)
+    codec = shared_codec(path, leaf_chars)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         ids = codec.encode([t or "" for t in cols["text"]])

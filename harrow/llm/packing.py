@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -63,8 +64,14 @@ class Encoder:
         return self.lib.encode(text, add_special_tokens=False).ids
 
 
+@lru_cache(maxsize=2)
+def shared_encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(path)
+
+
 def make_pieces(path: str, capacity: int, with_ids: bool):
-    enc = Encoder(path)
+    enc = shared_encoder(path)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
