@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-DATA = {"documents", "embeddings", "pages", "benchmark", "labels", "conversations"}
+SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their search path has it or it is installed."""
+    root = Path(__file__).resolve().parents[2]
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if "site-packages" in root.parts or str(root) in map(os.path.abspath, known) or spark.sparkContext.applicationId in SHIPPED:
+        return
+    SHIPPED.add(spark.sparkContext.applicationId)
+    target = Path(tempfile.mkdtemp(prefix="harrow-package-")) / "harrow.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted((root / "harrow").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(target))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the corpus tables, through Spark's reader (any file system Spark knows)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

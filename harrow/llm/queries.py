@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, rules, secretscan, simhash, suffix, topk, urlfilter
+from . import bpe, chains, packing, quality, rules, secretscan, simhash, suffix, topk, urlfilter
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_fuzzy_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
