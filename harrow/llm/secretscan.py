@@ -70,7 +70,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     """
     spark = documents.sparkSession
     own = labels.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    text = documents.join(F.broadcast(own), "doc_id").select(F.coalesce("text", F.lit("")).alias("t")).limit(sample_rows)
+    text = documents.join(F.broadcast(own), "doc_id").select(F.coalesce("text", F.lit("")).alias("t"))
     for p in (ASSIGN, ACCESS, HEX):
         text = text.select(F.regexp_replace("t", p, " ").alias("t"))
     words = text.select(F.explode(F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9+/_=-]+"), F.lit(0))).alias("w")).where(~F.col("w").rlike(r"^.{24,}$") | F.col("w").rlike(r"^[A-Za-z]+$"))
@@ -118,7 +118,11 @@ def scan(documents: DataFrame, ratios: list[float], *, threshold: float = THRESH
     base = base.withColumn("harrow_table", F.when(F.size("harrow_stretch") > 0, table))
     markov = F.filter("harrow_stretch", lambda x: apart(x) & (mean_ratio(x["m"]) > threshold))
     base = base.withColumn("harrow_markov", markov)
-    tagged = [F.transform(f"harrow_{k}", lambda x, i=i: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"))) for i, k in enumerate(KINDS)]
+
+    def tagged_as(i: int) -> Column:  # a lambda with a second parameter would be given the index
+        return F.transform(f"harrow_{KINDS[i]}", lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e")))
+
+    tagged = [tagged_as(i) for i in range(len(KINDS))]
     base = base.withColumn("harrow_spans", F.array_sort(F.concat(*tagged)))
     return base.drop("harrow_table", "harrow_stretch", *[f"harrow_{k}" for k in KINDS])
 
