@@ -54,7 +54,7 @@ def propagate(pages: DataFrame, *, damping: float = DAMPING, rounds: int = ROUND
         F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("distrust").alias("kind"), F.col("n")),
     )).alias("e")).select("e.*")
     total = ways.groupBy("src", "kind").agg(F.sum("n").alias("total"))
-    edges = cut(ways.join(total, ["src", "kind"]).select("src", "kind", "dst", (F.col("n") / F.col("total")).alias("w")))
+    edges = cut(ways.join(total, ["src", "kind"]).select(F.col("src").alias("host"), "kind", "dst", (F.col("n") / F.col("total")).alias("w")))
     seeds = hosts.select("host", F.explode(F.array(
         F.struct(F.lit("trust").alias("kind"), F.col("good").alias("n")), F.struct(F.lit("distrust").alias("kind"), F.col("bad").alias("n"))
     )).alias("x")).select("host", "x.kind", "x.n").where("n > 0")
@@ -63,9 +63,7 @@ def propagate(pages: DataFrame, *, damping: float = DAMPING, rounds: int = ROUND
     now = seeds
     if not edges.isEmpty():
         for _ in range(rounds):
-            moved = now.join(edges, (now["host"] == edges["src"]) & (now["kind"] == edges["kind"])).select(
-                F.col("dst").alias("host"), edges["kind"], (damping * F.col("score") * F.col("w")).alias("score")
-            )
+            moved = now.join(edges, ["host", "kind"]).select(F.col("dst").alias("host"), "kind", (damping * F.col("score") * F.col("w")).alias("score"))
             now = cut(moved.unionByName(seeds).groupBy("host", "kind").agg(F.sum("score").alias("score")))
     score = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
     return hosts.select("host", "pages").join(now.groupBy("host").agg(score("trust"), score("distrust")), "host", "left").na.fill(0.0, ["trust", "distrust"])
