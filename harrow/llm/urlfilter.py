@@ -18,6 +18,9 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 DAMPING = 0.85
 ROUNDS = 10
 LIFT = 1.0
+#: Blocked hosts that are sent to every task; more are joined by host and salt.
+MOST_BROADCAST = 100_000
+SALTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\bhref\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
@@ -69,7 +72,7 @@ def propagate(pages: DataFrame, *, damping: float = DAMPING, rounds: int = ROUND
     return hosts.select("host", "pages").join(now.groupBy("host").agg(score("trust"), score("distrust")), "host", "left").na.fill(0.0, ["trust", "distrust"])
 
 
-def judge_pages(pages: DataFrame, *, rules: list[tuple[str, str]] = RULES, damping: float = DAMPING, rounds: int = ROUNDS, lift: float = LIFT) -> DataFrame:
+def judge_pages(pages: DataFrame, *, rules: list[tuple[str, str]] = RULES, damping: float = DAMPING, rounds: int = ROUNDS, lift: float = LIFT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """page_id, host, path, rule, verdict: one row per input row.
 
     A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed.  Null html has no
@@ -84,7 +87,14 @@ def judge_pages(pages: DataFrame, *, rules: list[tuple[str, str]] = RULES, dampi
     bad = scores.crossJoin(F.broadcast(sums)).where(  # one row of sums
         (share("distrust", "d") > lift * share("pages", "p")) & (share("distrust", "d") > share("trust", "t"))
     )
-    out = own.drop("html").join(bad.select("host", F.lit(True).alias("bad")), "host", "left")
+    bad = cut(bad.select("host", F.lit(True).alias("bad")))
+    pages_only = own.drop("html")
+    if bad.count() <= most_broadcast:  # a host may hold a third of all pages: they need not move
+        out = pages_only.join(F.broadcast(bad), "host", "left")
+    else:
+        copies = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = pages_only.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+        out = dealt.join(copies, ["host", "salt"], "left")
     verdict = F.coalesce("verdict", F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
