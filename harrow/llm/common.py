@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -43,6 +44,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="harrow-checkpoint-"))
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle and checkpoint files of plans that nothing refers to any more.
+
+    Spark does so when the driver's JVM collects its garbage, which may be long after a job of many steps has filled
+    the disks; steps that materialise call this, at most a few dozen times a job.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder and cut the lineage; survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
