@@ -4,7 +4,7 @@ A window of ``window`` bytes that starts anywhere else is repeated, and every by
 window is represented by the least of its k-grams by hash (a minimizer): equal windows have equal minimizers at equal
 places.  So only places around minimizers that occur twice or more matter:
 
-* if the whole surroundings of two occurrences are equal, everything there is repeated, and no sorting is needed;
+* if the whole surroundings of two occurrences are equal (a 64-bit digest beside the minimizer's 64-bit hash), everything there is repeated, and no sorting is needed;
 * the distinct surroundings of one minimizer are laid side by side, aligned at it, and sorted from right to left by
   external induction (see ``induced``): tuples of suffix and common prefix in a disk-backed priority queue, recurring
   one place to the left at a time.  A suffix whose neighbour shares a whole window starts a repeated one.
@@ -23,13 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, slices, tidy
 from .induced import repeated_windows
 
 WINDOW = 400
 GRAM = 32
 #: Strings sorted together, at least; a larger group stays whole and goes to disk.
 SHARD_STRINGS = 1 << 15
+#: A minimizer with more distinct surroundings is split: windows are told apart by where the minimizer lies in them,
+#: in this many ranges, and by the bytes that all windows of a range have in common.
+HOT_FORMS = 1 << 16
+RANGES = 16
+#: Copies of the totals of repeated minimizers that its surroundings are dealt to.
+SALTS = 8
 POSITION_BITS = np.uint64((1 << 32) - 1)
 
 
@@ -80,10 +86,10 @@ def mark_schema(names: list[str], kinds: list) -> pa.Schema:
 
 def anchor_rows(window: int, gram: int):
     """(key, text) to (key, a, r, at): minimizer and digest of its surroundings."""
-    schema = mark_schema(["key", "a", "r", "at"], [pa.binary(), pa.int64(), pa.binary(), pa.int32()])
+    schema = mark_schema(["key", "a", "r", "at"], [pa.binary(), pa.int64(), pa.int64(), pa.int32()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
+        from xxhash import xxh3_64_intdigest
 
         for batch in batches:
             for part in slices(batch):
@@ -96,86 +102,118 @@ def anchor_rows(window: int, gram: int):
                     places.append(at)
                     for i in at.tolist():
                         lo, hi = surroundings(raw, i, window, gram)
-                        digests.append(xxh3_128_digest(raw[lo:hi], seed=i - lo))
+                        digests.append(xxh3_64_intdigest(raw[lo:hi], seed=i - lo))
                 h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
                 p = np.concatenate(places) if places else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()), pa.array(h.view(np.int64)), pa.array(digests, pa.binary()), pa.array(p.astype(np.int32))], schema=schema
+                    [pa.array(keys, pa.binary()), pa.array(h.view(np.int64)), pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), pa.array(p.astype(np.int32))], schema=schema
                 )
 
     return run
 
 
+def ranges(window: int, gram: int, parts: int = RANGES) -> list[tuple[int, int]]:
+    """Bounds (both included) of the number of bytes that a window has before its minimizer."""
+    edges = [(window - gram + 1) * i // parts for i in range(parts + 1)]
+    return [(a, b - 1) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+
+
+STRINGS = "shard long, part int, a long, r long, lead int, s binary"
+
+
 def string_rows(window: int, gram: int):
-    """(text, wanted list of (a, r, at)) to (a, r, lead, bytes): surroundings and the number of bytes before the minimizer."""
-    schema = mark_schema(["a", "r", "lead", "s"], [pa.int64(), pa.binary(), pa.int32(), pa.binary()])
+    """(text, wanted list of (a, r, at, hot)) to STRINGS: surroundings, and the number of bytes before the minimizer.
+
+    Of a hot minimizer only the part that windows of one range cover is sent, for each range, to the shard of the bytes
+    common to them; windows that are equal have these in common.
+    """
+    schema = mark_schema(["shard", "part", "a", "r", "lead", "s"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()])
+    split = ranges(window, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
         for batch in batches:
             for part in slices(batch, 2 << 20):
                 rows = []
                 for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     raw = text.encode()
                     for x in wanted:
-                        lo, hi = surroundings(raw, x["at"], window, gram)
-                        rows.append((x["a"], x["r"], x["at"] - lo, raw[lo:hi]))
-                columns = list(zip(*rows, strict=True)) or [()] * 4
+                        at = x["at"]
+                        lo, hi = surroundings(raw, at, window, gram)
+                        if not x["hot"]:
+                            rows.append((x["a"], -1, x["a"], x["r"], at - lo, raw[lo:hi]))
+                            continue
+                        for k, (least, most) in enumerate(split):
+                            if at - least < lo or at + window - most > hi:
+                                continue  # no window of this range
+                            shard = xxh3_64_intdigest(raw[at - least : at + window - most], seed=k)
+                            first, last = max(lo, at - most), min(hi, at + window - least)
+                            rows.append((shard - (1 << 63), k, x["a"], x["r"], at - first, raw[first:last]))
+                columns = list(zip(*rows, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
 
 def sort_shards(window: int, gram: int, shard_strings: int):
-    """(a, r, lead, bytes), sorted by a, to (a, r, cover): bounds of repeated stretches around the minimizer, in pairs."""
-    schema = mark_schema(["a", "r", "cover"], [pa.int64(), pa.binary(), pa.list_(pa.int32())])
-    reach = window - gram
-
-    def shard(rows: list[tuple]) -> pa.RecordBatch:
-        strings = [(reach - lead, s) for _, _, lead, s in rows]
-        covers: dict[int, list[int]] = {}
-        ids, first, last = repeated_windows(reach + window, window, reach, strings)
-        for i in np.lexsort((first, ids)):
-            covers.setdefault(int(ids[i]), []).extend((int(first[i]) - reach, int(last[i]) - reach + window))
-        hits = sorted(covers)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([rows[i][0] for i in hits], pa.int64()), pa.array([rows[i][1] for i in hits], pa.binary()), pa.array([covers[i] for i in hits], pa.list_(pa.int32()))],
-            schema=schema,
-        )
+    """STRINGS, sorted by shard, to (a, r, cover): bounds of repeated stretches around the minimizer, in pairs."""
+    schema = mark_schema(["a", "r", "cover"], [pa.int64(), pa.int64(), pa.list_(pa.int32())])
+    split = ranges(window, gram)
+
+    def sort(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for part in sorted({row[1] for row in rows}):
+            own = [row for row in rows if row[1] == part]
+            least, most = split[part] if part >= 0 else (0, window - gram)
+            strings = [(most - lead, s) for _, _, _, _, lead, s in own]
+            covers: dict[int, list[int]] = {}
+            ids, first, last = repeated_windows(most - least + window, window, most - least, strings)
+            for i in np.lexsort((first, ids)):
+                covers.setdefault(int(ids[i]), []).extend((int(first[i]) - most, int(last[i]) - most + window))
+            hits = sorted(covers)
+            columns = [[own[i][2] for i in hits], [own[i][3] for i in hits], [covers[i] for i in hits]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if len(rows) >= shard_strings and row[0] != rows[-1][0]:
-                    yield shard(rows)
+                    yield from sort(rows)
                     rows = []
                 rows.append(row)
         if rows:
-            yield shard(rows)
+            yield from sort(rows)
 
     return run
 
 
-def repeated_cover(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, shard_strings: int = SHARD_STRINGS) -> DataFrame:
+def repeated_cover(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, shard_strings: int = SHARD_STRINGS, hot_forms: int = HOT_FORMS) -> DataFrame:
     """(key, spans): for each distinct text (key: its MD5 digest) with repeats, places and bounds of repeated stretches."""
     texts = docs.select(F.unhex(F.md5("text")).alias("key"), "text").where(F.octet_length("text") >= window)
-    anchors = cut(texts.mapInArrow(anchor_rows(window, gram), "key binary, a long, r binary, at int"))
+    # Cheap enough to make twice, and larger on disk than anything else here.
+    anchors = texts.mapInArrow(anchor_rows(window, gram), "key binary, a long, r long, at int")
     # Copies of one place meet in counts, which are partly summed before the shuffle.
     forms = anchors.groupBy("a", "r").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("at"))
     forms = forms.withColumn("at", F.struct("at.key", "at.at"))
     totals = forms.groupBy("a").agg(F.sum("n").alias("total"), F.count("*").alias("forms")).where("total > 1").select("a", "forms")
-    forms = cut(forms.join(totals, "a"))
-    wanted = forms.where("forms > 1").select(F.col("at.key").alias("key"), F.struct("a", "r", F.col("at.at").alias("at")).alias("x"))
+    # A minimizer may have a third of all surroundings: they are dealt by salt, the totals copied to each.
+    totals = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    forms = cut(forms.withColumn("salt", F.pmod("r", F.lit(SALTS)).cast("int")).join(totals, ["a", "salt"]).drop("salt"))
+    tidy(docs.sparkSession)
+    wanted = forms.where("forms > 1").select(F.col("at.key").alias("key"), F.struct("a", "r", F.col("at.at").alias("at"), (F.col("forms") > hot_forms).alias("hot")).alias("x"))
     wanted = wanted.groupBy("key").agg(F.collect_list("x").alias("wanted"))  # no more than the places of one text
     once = texts.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
-    strings = once.select("text", "wanted").mapInArrow(string_rows(window, gram), "a long, r binary, lead int, s binary")
-    sorted_strings = strings.repartition("a").sortWithinPartitions("a")
-    part = sorted_strings.mapInArrow(sort_shards(window, gram, shard_strings), "a long, r binary, cover array<int>")
+    strings = once.select("text", "wanted").mapInArrow(string_rows(window, gram), STRINGS)
+    sorted_strings = strings.repartition("shard").sortWithinPartitions("shard")
+    part = sorted_strings.mapInArrow(sort_shards(window, gram, shard_strings), "a long, r long, cover array<int>")
     whole = F.array(F.lit(-(window - gram)), F.lit(window))  # bounds of the text cut these
     cover = forms.where("n > 1").select("a", "r", whole.alias("cover")).unionByName(
         part.join(forms.where("n = 1").select("a", "r"), ["a", "r"], "left_semi")
     )
-    placed = anchors.join(cover, ["a", "r"]).groupBy("key", "at").agg(F.first("cover").alias("cover"))
+    cover = cut(cover)
+    tidy(docs.sparkSession)
+    placed = anchors.join(cover, ["a", "r"]).groupBy("key", "at").agg(F.flatten(F.collect_set("cover")).alias("cover"))
     return placed.groupBy("key").agg(F.collect_list(F.struct("at", "cover")).alias("spans"))
 
 
@@ -209,14 +247,14 @@ def with_spans(docs: DataFrame, **options) -> DataFrame:
     return docs.withColumn("harrow_key", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).join(cover, "harrow_key", "left").drop("harrow_key")
 
 
-def deduplicate(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, shard_strings: int = SHARD_STRINGS, with_runs: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, shard_strings: int = SHARD_STRINGS, hot_forms: int = HOT_FORMS, with_runs: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and runs, the removed byte ranges, if asked for), a row per input row.
 
     Null text counts as empty; texts shorter than the window lose nothing.  A row repeated as a whole is a second
     place like any other, so it loses its text.  Null doc_id stays null; other columns are ignored.
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", runs array<array<int>>" if with_runs else "")
-    rows = with_spans(docs.select("doc_id", "text"), window=window, gram=gram, shard_strings=shard_strings)
+    rows = with_spans(docs.select("doc_id", "text"), window=window, gram=gram, shard_strings=shard_strings, hot_forms=hot_forms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -68,11 +68,11 @@ def test_queue_keeps_order_and_values_on_disk():
     assert range_minima(lcp, np.array([3, 4]), np.array([9, 4])).tolist() == [lcp[3:10].min(), lcp[4]]
 
 
-@pytest.mark.parametrize(("window", "gram"), [(400, 32), (40, 8)])
-def test_documents_against_brute_force(odd_docs, window, gram):
+@pytest.mark.parametrize(("window", "gram", "hot"), [(400, 32, 1 << 16), (40, 8, 1 << 16), (400, 32, 1), (40, 8, 1)])
+def test_documents_against_brute_force(odd_docs, window, gram, hot):
     rows = odd_docs.collect()
     want = sorted(brute([r.text for r in rows], window), key=str)
-    got = suffix.deduplicate(odd_docs, window=window, gram=gram, shard_strings=16)
+    got = suffix.deduplicate(odd_docs, window=window, gram=gram, shard_strings=16, hot_forms=hot)
     assert sorted(((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()), key=str) == want
     assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
@@ -81,7 +81,8 @@ def test_real_rows_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.collect()
     want = dict(zip([r.doc_id for r in rows], brute([r.text for r in rows], 400), strict=True))
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.deduplicate(docs).collect()} == want
+    for hot in (1 << 16, 1):
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.deduplicate(docs, hot_forms=hot).collect()} == want
 
 
 def test_empty_table_and_stage(no_docs, odd_docs):
