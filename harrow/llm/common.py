@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -51,7 +52,10 @@ def tidy(spark: SparkSession) -> None:
     the disks; steps that materialise call this, at most a few dozen times a job.
     """
     gc.collect()
+    spark.range(1).collect()  # the scheduler keeps the last job's plan until the next job
+    time.sleep(0.3)  # references from Python are handed back by a thread
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
 
 
 def cut(df: DataFrame) -> DataFrame:
