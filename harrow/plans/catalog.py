@@ -440,6 +440,63 @@ def config_clamps(s, d):
     return rows
 
 
+def search_topk(s, d):
+    """The first three hits of each searcher: hosts ranked by page."""
+    rows = read(s, d, "pages").select(urls.normalise_domain(F.col("url")).alias("query"), "page_id", "url", urls.display_link(F.col("url")).alias("display_link"))
+    return ranking.top_per(rows, "query", ["page_id"], 3)
+
+
+def engine_first(s, d):
+    hits = read(s, d, "events").select(F.concat(F.lit("q"), (F.col("user_id") % 40).cast("string")).alias("query"), (F.col("event_id") % 3 + (F.col("user_id") % 2)).cast("int").alias("engine_pos"), F.col("event_id").alias("link"))
+    return joins.first_engine(hits)
+
+
+def url_join(s, d):
+    base = F.when(F.col("page_id") % 2 == 0, "shop.de").otherwise("http://shop.de/a/b")
+    rel = F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.concat(F.lit("//x/"), F.col("page_id").cast("string")))
+    return read(s, d, "pages").select("page_id", urls.join_url(base, rel).alias("joined"))
+
+
+def robots_lines(s, d):
+    host = urls.normalise_domain(F.col("url"))
+    text = F.concat(F.lit("User-agent: *\nSITEMAP: https://www."), F.col("domain"), F.lit("/s.xml\r\n sitemap:https://other.de/s.xml\nSitemap: https://"), F.col("domain"), F.lit("/t.xml"))
+    rows = read(s, d, "pages").select(host.alias("domain")).distinct().select("domain", text.alias("text"))
+    return sitemaps.robots_sitemaps(rows.where("domain not like 'www.%'"))
+
+
+def sitemap_candidates(s, d):
+    return sitemaps.candidates(read(s, d, "pages").select(urls.normalise_domain(F.col("url")).alias("domain")).distinct())
+
+
+def xml_sniff(s, d):
+    body = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("  <?XML version='1.0'?>"), "html")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("<urlset>"), "html")).otherwise(F.col("html"))
+    raw = F.encode(body, "UTF-8")
+    return read(s, d, "pages").select("page_id", (sitemaps.within_size(raw) & sitemaps.looks_like_xml(raw)).alias("xml"))
+
+
+def frontier_new_links(s, d):
+    """Link targets that are no page of the table themselves."""
+    pages = read(s, d, "pages")
+    links = discovery.page_links(pages.select("url", F.col("html").alias("text"))).select("dst").distinct()
+    return joins.unless(links, pages.select(urls.canonicalise_query(F.col("url")).alias("dst")).distinct(), "dst")
+
+
+def proxy_bans(s, d):
+    failures = read(s, d, "events").where("event_type = 'error'").select(F.concat(F.lit("proxy-"), F.col("user_id").cast("string")).alias("url"), F.floor(seconds()).cast("double").alias("ts"))
+    return stats.bans(failures)
+
+
+def task_batches(s, d):
+    """Failed tasks by batch of a hundred."""
+    tasks = read(s, d, "events").select("event_id", (F.col("event_id") % 7).alias("g"), (F.floor(F.abs("value")) % 5 != 0).alias("success"))
+    _, failed = stats.split_tasks(ranking.batch_number(tasks, "g", ["event_id"], 100))
+    return failed.groupBy("g", "batch").agg(F.count("*").alias("n"))
+
+
+def debug_names(s, d):
+    return read(s, d, "pages").select("page_id", urls.debug_filename(F.col("url")).alias("name"))
+
+
 QUERIES = [
     emails_from_text, emails_validate, emails_strict, emails_from_pages, emails_per_url_joined, emails_distinct_count,
     emails_blacklist_anti, emails_masked, deobf_at_dot, deobf_cfemail, deobf_charcode, deobf_base64, deobf_rot13,
@@ -450,7 +507,8 @@ QUERIES = [
     cache_latest, cache_prune, cache_ttl_lookup, rate_min_interval, token_bucket_wait, backoff_schedule,
     status_histogram, request_totals, worker_stats, progress_running, progress_stats, batch_numbers, request_gaps,
     proxy_rank, proxy_stats, merge_kth, append_union, stats_flags_sum, drop_duplicates_full, limit_overrides,
-    query_cache, time_texts, config_clamps,
+    query_cache, time_texts, config_clamps, search_topk, engine_first, url_join, robots_lines, sitemap_candidates,
+    xml_sniff, frontier_new_links, proxy_bans, task_batches, debug_names,
 ]
 
 

@@ -171,4 +171,20 @@ UNION ALL SELECT f.o_custkey, f.o_orderkey, f.v, 'result' FROM f ANTI JOIN b USI
 SELECT seconds, CASE WHEN seconds < 60 THEN printf('%.1fs', seconds) WHEN seconds < 3600 THEN (floor(seconds / 60)::BIGINT) || 'm ' || (floor(seconds)::BIGINT % 60) || 's'
   ELSE (floor(seconds / 3600)::BIGINT) || 'h ' || (floor(seconds)::BIGINT % 3600 // 60) || 'm' END AS text FROM s""",
     "config_clamps": """SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN 12.0::DOUBLE ELSE greatest(1, least(500, n_nationkey * 40 - 100))::DOUBLE END AS pages, 'a|' || lower(n_name) AS parts FROM nation""",
+    "search_topk": f"SELECT {DOMAIN} AS query, page_id, url, string_split(url, '/')[3] AS display_link FROM pages QUALIFY row_number() OVER (PARTITION BY {DOMAIN} ORDER BY page_id) <= 3",
+    "engine_first": """WITH h AS (SELECT 'q' || (user_id % 40) AS query, (event_id % 3 + user_id % 2)::INTEGER AS engine_pos, event_id AS link FROM events)
+SELECT query, engine_pos, link FROM h QUALIFY engine_pos = min(engine_pos) OVER (PARTITION BY query)""",
+    "url_join": """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 2 = 0 THEN 'https://shop.de/x/' || page_id ELSE 'http://shop.de/a/x/' || page_id END AS joined FROM pages""",
+    "robots_lines": f"""WITH h AS (SELECT DISTINCT {DOMAIN} AS domain FROM pages)
+SELECT domain, unnest([1, 3])::INTEGER AS pos, unnest(['https://www.' || domain || '/s.xml', 'https://' || domain || '/t.xml']) AS url FROM h""",
+    "sitemap_candidates": f"""WITH h AS (SELECT DISTINCT {DOMAIN} AS domain FROM pages), f AS (SELECT domain, unnest(CASE WHEN len(string_split(domain, '.')) > 2 THEN [0] ELSE [0, 1] END) AS h FROM h),
+g AS (SELECT domain, h, unnest([0, 1, 2, 3]) AS n, unnest(['sitemap.xml', 'sitemap_index.xml', 'sitemap-index.xml', 'sitemap1.xml']) AS name FROM f)
+SELECT domain, (h * 4 + n)::INTEGER AS pos, 'https://' || CASE WHEN h = 1 THEN 'www.' ELSE '' END || domain || '/' || name AS url FROM g""",
+    "xml_sniff": "SELECT page_id, page_id % 3 <> 2 AS xml FROM pages",
+    "frontier_new_links": f"""WITH h AS (SELECT {SCHEME} || '://' || {NETLOC} AS root, regexp_extract_all(html, '<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]*)"', 1, 'is') AS l FROM pages),
+t AS (SELECT DISTINCT root || replace(unnest(l), '&amp;', '&') AS dst FROM h) SELECT dst FROM t WHERE dst NOT IN (SELECT canonical FROM {CANONICAL_QUERY})""",
+    "proxy_bans": f"SELECT 'proxy-' || user_id AS url, max(floor({SECONDS})) + 300 AS banned_until FROM events WHERE event_type = 'error' GROUP BY 1",
+    "task_batches": """WITH t AS (SELECT event_id % 7 AS g, (row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id) - 1) // 100 AS batch, floor(abs(value))::BIGINT % 5 <> 0 AS ok FROM events)
+SELECT g, batch, count(*) AS n FROM t WHERE NOT ok GROUP BY 1, 2""",
+    "debug_names": f"""SELECT page_id, regexp_replace({NETLOC} || '_' || CASE WHEN regexp_replace({PATH}, '^/+|/+$', '', 'g') = '' THEN 'index' ELSE regexp_replace({PATH}, '^/+|/+$', '', 'g') END, '[^A-Za-z0-9._-]', '_', 'g') || '.html' AS name FROM pages""",
 }
