@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the cluster names (a local one only where it names none)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="harrow-checkpoint-"))
-    return df.checkpoint(eager=True)
+from ..runtime import cut
 
 
 def crawl(seeds: DataFrame, links: DataFrame, *, limit: int | None = None, limits: DataFrame | None = None, max_depth: int = 60, ok: DataFrame | None = None) -> DataFrame:

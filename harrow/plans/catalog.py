@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..config import clamp_column, words_column
 from ..functions import decoders, emails, html, scoring, urls
 from ..operators import cache, frontier, joins, pacing, ranking, sitemaps, stats
+from ..runtime import ship
 from . import discovery
 
 BLOCKED = ["example.org", ".html"]
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 

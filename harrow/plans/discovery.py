@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import PRIORITY_PARTS, words
 from ..functions import decoders, html, scoring, urls
 from ..operators import frontier, ranking, sitemaps
+from ..runtime import cut
 
 
 def resolve_domains(companies: DataFrame, results: DataFrame, *, threshold: float = scoring.THRESHOLD, most: int = 10) -> DataFrame:
@@ -71,15 +72,15 @@ def run(
 
     Home page and priority pages of the sitemap first; only domains that gave nothing are crawled.
     """
-    resolved = frontier.cut(resolve_domains(companies, results, threshold=threshold))
+    resolved = cut(resolve_domains(companies, results, threshold=threshold))
     own = resolved.where("status = 'domain'").select("input_pos", "company", "domain")
     pages = responses.withColumn("key", urls.canonicalise_query(F.col("url")))
-    addresses = frontier.cut(page_addresses(pages.withColumn("url", F.col("key")), mode=mode))
+    addresses = cut(page_addresses(pages.withColumn("url", F.col("key")), mode=mode))
     home = own.select("domain", urls.canonicalise_query(F.concat(F.lit("https://"), "domain")).alias("url"))
     found = sitemaps.discover(own.select("domain"), bodies, robots)
     listed = sitemaps.pages_of(found, bodies)
     priority = sitemaps.priority_pages(listed, parts, page_limit).select("domain", urls.canonicalise_query(F.col("url")).alias("url"))
-    first = frontier.cut(home.unionByName(priority).distinct().join(addresses, "url").select("domain", "email").distinct())
+    first = cut(home.unionByName(priority).distinct().join(addresses, "url").select("domain", "email").distinct())
     empty = own.join(first, "domain", "left_anti").select("domain")
     start = empty.select("domain", urls.canonicalise_query(F.concat(F.lit("https://"), "domain")).alias("url"))
     answering = pages.where(F.col("status").between(200, 299)).select(F.col("key").alias("url")).distinct()
