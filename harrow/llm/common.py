@@ -2,32 +2,14 @@
 
 from __future__ import annotations
 
-import gc
-import os
-import tempfile
-import time
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SHIPPED: set[str] = set()
+from ..runtime import cut, ship, tidy
 
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, unless their search path has it or it is installed."""
-    root = Path(__file__).resolve().parents[2]
-    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    if "site-packages" in root.parts or str(root) in map(os.path.abspath, known) or spark.sparkContext.applicationId in SHIPPED:
-        return
-    SHIPPED.add(spark.sparkContext.applicationId)
-    target = Path(tempfile.mkdtemp(prefix="harrow-package-")) / "harrow.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted((root / "harrow").rglob("*.py")):
-            z.write(f, f.relative_to(root))
-    spark.sparkContext.addPyFile(str(target))
+__all__ = ["cut", "map_columns", "ship", "slices", "table", "tidy"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,34 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; make a local one only where it names none (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="harrow-checkpoint-"))
-
-
-def tidy(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle and checkpoint files of plans that nothing refers to any more.
-
-    Spark does so when the driver's JVM collects its garbage, which may be long after a job of many steps has filled
-    the disks; steps that materialise call this, at most a few dozen times a job.
-    """
-    gc.collect()
-    spark.range(1).collect()  # the scheduler keeps the last job's plan until the next job
-    time.sleep(0.3)  # references from Python are handed back by a thread
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.3)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and cut the lineage; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def map_columns(
     df: DataFrame, schema: str, make: Callable[..., Callable[[dict[str, list]], dict[str, list]]], *args
 ) -> DataFrame:

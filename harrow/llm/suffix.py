@@ -30,7 +30,7 @@ WINDOW = 400
 GRAM = 32
 #: Strings sorted together, at least; a larger group stays whole and goes to disk.
 SHARD_STRINGS = 1 << 15
-#: A minimizer with more distinct surroundings is split: windows are told apart by where the minimizer lies in them,
+#: A minimizer with more occurrences is split: windows are told apart by where the minimizer lies in them,
 #: in this many ranges, and by the bytes that all windows of a range have in common.
 HOT_FORMS = 1 << 16
 RANGES = 16
@@ -196,12 +196,14 @@ def repeated_cover(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, s
     # Copies of one place meet in counts, which are partly summed before the shuffle.
     forms = anchors.groupBy("a", "r").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("at"))
     forms = forms.withColumn("at", F.struct("at.key", "at.at"))
-    totals = forms.groupBy("a").agg(F.sum("n").alias("total"), F.count("*").alias("forms")).where("total > 1").select("a", "forms")
+    totals = anchors.groupBy("a").agg(F.count("*").alias("total")).where("total > 1")
     # A minimizer may have a third of all surroundings: they are dealt by salt, the totals copied to each.
     totals = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     forms = cut(forms.withColumn("salt", F.pmod("r", F.lit(SALTS)).cast("int")).join(totals, ["a", "salt"]).drop("salt"))
     tidy(docs.sparkSession)
-    wanted = forms.where("forms > 1").select(F.col("at.key").alias("key"), F.struct("a", "r", F.col("at.at").alias("at"), (F.col("forms") > hot_forms).alias("hot")).alias("x"))
+    mixed = forms.where("n < total")  # others have the minimizer, with other surroundings
+    place = F.struct("a", "r", F.col("at.at").alias("at"), (F.col("total") > hot_forms).alias("hot"))
+    wanted = mixed.select(F.col("at.key").alias("key"), place.alias("x"))
     wanted = wanted.groupBy("key").agg(F.collect_list("x").alias("wanted"))  # no more than the places of one text
     once = texts.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
     strings = once.select("text", "wanted").mapInArrow(string_rows(window, gram), STRINGS)
@@ -213,8 +215,8 @@ def repeated_cover(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, s
     )
     cover = cut(cover)
     tidy(docs.sparkSession)
-    placed = anchors.join(cover, ["a", "r"]).groupBy("key", "at").agg(F.flatten(F.collect_set("cover")).alias("cover"))
-    return placed.groupBy("key").agg(F.collect_list(F.struct("at", "cover")).alias("spans"))
+    # A set, so that copies of a text bring their places once for each task; no more than the places of one text.
+    return anchors.join(cover, ["a", "r"]).groupBy("key").agg(F.collect_set(F.struct("at", "cover")).alias("spans"))
 
 
 def removed_runs(n: int, spans: list[dict]) -> list[tuple[int, int]]:
