@@ -48,8 +48,9 @@ def tidy(spark: SparkSession) -> None:
     Spark does so when the driver's JVM collects its garbage, which may be long after a job of many steps has filled
     the disks; steps that materialise call this, at most a few dozen times a job.
     """
-    gc.collect()
-    spark.range(1).collect()  # the scheduler keeps the last job's plan until the next job
-    time.sleep(0.3)  # references from Python are handed back by a thread
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.3)
+    for _ in range(2):
+        gc.collect()
+        spark.range(1).collect()  # the scheduler keeps the last job's plan until the next job
+        time.sleep(1)  # a thread hands back, one by one, what Python no longer refers to
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
