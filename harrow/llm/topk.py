@@ -117,10 +117,11 @@ def top_k(
 
     Components become floor(64 x).  Rows with a null vec_id, a null vector, or null or non-finite components take no
     part; an empty vector scores 0 with other empty ones.  Only vectors of the query's own length are candidates.  Of
-    rows repeating a vec_id one takes part (that of the smallest vector).  Ties go to the smaller vec_id.
+    rows repeating a vec_id one takes part (that of the smallest vector).  Ties go to the smaller vec_id.  Vectors so
+    large that a score may not fit 64 bits raise an error.
     """
     x = F.transform("embedding", lambda e: e.cast("double"))
-    sound = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float(1 << 50))))
+    sound = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select("vec_id", x.alias("x"), sound.alias("ok"))
     rows = rows.where("ok").select("vec_id", F.expr(f"transform(x, e -> cast(floor({SCALE} * e) as bigint))").alias("v"))
     rows = cut(rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v")))

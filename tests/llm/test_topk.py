@@ -57,3 +57,13 @@ def test_bounds_hold():
     q = rng.integers(-64, 64, 6).astype(float)
     for a, b, lo, hi in zip(t.start, t.end, t.low, t.high, strict=True):
         assert (t.vectors[a:b] @ q).max() <= np.maximum(q, 0) @ hi + np.minimum(q, 0) @ lo
+
+
+def test_large_values_are_exact_or_refused(spark):
+    check(spark, [(0, [2.0**24, 1.0]), (1, [2.0**24, 3.0]), (2, [-(2.0**24), 3.0])])
+    try:
+        topk.top_k(table(spark, [(0, [1e30]), (1, [1e30])])).collect()
+    except Exception as e:  # noqa: BLE001
+        assert "64-bit" in str(e) or "overflow" in str(e).lower()
+    else:
+        raise AssertionError("not refused")
