@@ -10,7 +10,8 @@ places.  So only places around minimizers that occur twice or more matter:
   one place to the left at a time.  A suffix whose neighbour shares a whole window starts a repeated one.
 
 Equal windows meet in one shard because they share a minimizer, at the same place; suffixes at different places are
-never compared, which is what keeps the recursion to one queue a place.  A shard may be far larger than memory.
+never compared, which is what keeps the recursion to one queue a place.  A shard may be far larger than memory.  Only
+minimizers so common that one shard would hold up the job are settled by counting digests instead (``hot_cover``).
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ WINDOW = 400
 GRAM = 32
 #: Strings sorted together, at least; a larger group stays whole and goes to disk.
 SHARD_STRINGS = 1 << 15
-#: A minimizer with more occurrences is split: windows are told apart by where the minimizer lies in them,
-#: in this many ranges, and by the bytes that all windows of a range have in common.
-HOT_FORMS = 1 << 16
+#: A minimizer with more occurrences is not sorted in one shard.  Its windows are told apart by where it lies in them,
+#: in this many ranges, by the bytes that all windows of a range have in common, and then one by one.
+HOT_FORMS = 1 << 14
 RANGES = 16
 #: Copies of the totals of repeated minimizers that its surroundings are dealt to.
 SALTS = 8
@@ -118,76 +119,128 @@ def ranges(window: int, gram: int, parts: int = RANGES) -> list[tuple[int, int]]
     return [(a, b - 1) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 
-STRINGS = "shard long, part int, a long, r long, lead int, s binary"
+STRINGS = "a long, r long, lead int, s binary"
+PARTS = "part int, core binary, head binary, tail binary, a long, r long"
 
 
 def string_rows(window: int, gram: int):
-    """(text, wanted list of (a, r, at, hot)) to STRINGS: surroundings, and the number of bytes before the minimizer.
-
-    Of a hot minimizer only the part that windows of one range cover is sent, for each range, to the shard of the bytes
-    common to them; windows that are equal have these in common.
-    """
-    schema = mark_schema(["shard", "part", "a", "r", "lead", "s"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()])
-    split = ranges(window, gram)
+    """(text, wanted list of (a, r, at)) to STRINGS: surroundings, and the number of bytes before the minimizer."""
+    schema = mark_schema(["a", "r", "lead", "s"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
         for batch in batches:
             for part in slices(batch, 2 << 20):
                 rows = []
                 for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     raw = text.encode()
                     for x in wanted:
-                        at = x["at"]
-                        lo, hi = surroundings(raw, at, window, gram)
-                        if not x["hot"]:
-                            rows.append((x["a"], -1, x["a"], x["r"], at - lo, raw[lo:hi]))
-                            continue
-                        for k, (least, most) in enumerate(split):
-                            if at - least < lo or at + window - most > hi:
-                                continue  # no window of this range
-                            shard = xxh3_64_intdigest(raw[at - least : at + window - most], seed=k)
-                            first, last = max(lo, at - most), min(hi, at + window - least)
-                            rows.append((shard - (1 << 63), k, x["a"], x["r"], at - first, raw[first:last]))
-                columns = list(zip(*rows, strict=True)) or [()] * 6
+                        lo, hi = surroundings(raw, x["at"], window, gram)
+                        rows.append((x["a"], x["r"], x["at"] - lo, raw[lo:hi]))
+                columns = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
 
 def sort_shards(window: int, gram: int, shard_strings: int):
-    """STRINGS, sorted by shard, to (a, r, cover): bounds of repeated stretches around the minimizer, in pairs."""
+    """STRINGS, sorted by a, to (a, r, cover): bounds of repeated stretches around the minimizer, in pairs."""
     schema = mark_schema(["a", "r", "cover"], [pa.int64(), pa.int64(), pa.list_(pa.int32())])
-    split = ranges(window, gram)
-
-    def sort(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for part in sorted({row[1] for row in rows}):
-            own = [row for row in rows if row[1] == part]
-            least, most = split[part] if part >= 0 else (0, window - gram)
-            strings = [(most - lead, s) for _, _, _, _, lead, s in own]
-            covers: dict[int, list[int]] = {}
-            ids, first, last = repeated_windows(most - least + window, window, most - least, strings)
-            for i in np.lexsort((first, ids)):
-                covers.setdefault(int(ids[i]), []).extend((int(first[i]) - most, int(last[i]) - most + window))
-            hits = sorted(covers)
-            columns = [[own[i][2] for i in hits], [own[i][3] for i in hits], [covers[i] for i in hits]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, schema, strict=True)], schema=schema)
+    reach = window - gram
+
+    def shard(rows: list[tuple]) -> pa.RecordBatch:
+        strings = [(reach - lead, s) for _, _, lead, s in rows]
+        covers: dict[int, list[int]] = {}
+        ids, first, last = repeated_windows(reach + window, window, reach, strings)
+        for i in np.lexsort((first, ids)):
+            covers.setdefault(int(ids[i]), []).extend((int(first[i]) - reach, int(last[i]) - reach + window))
+        hits = sorted(covers)
+        columns = [[rows[i][0] for i in hits], [rows[i][1] for i in hits], [covers[i] for i in hits]]
+        return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if len(rows) >= shard_strings and row[0] != rows[-1][0]:
-                    yield from sort(rows)
+                    yield shard(rows)
                     rows = []
                 rows.append(row)
         if rows:
-            yield from sort(rows)
+            yield shard(rows)
 
     return run
 
 
+def part_rows(window: int, gram: int):
+    """(text, wanted) to PARTS: for each range of windows, a digest of the bytes all of them have, and those at the ends."""
+    schema = mark_schema(["part", "core", "head", "tail", "a", "r"], [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()])
+    split = ranges(window, gram)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            for part in slices(batch, 2 << 20):
+                rows = []
+                for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    raw = text.encode()
+                    for x in wanted:
+                        at = x["at"]
+                        lo, hi = surroundings(raw, at, window, gram)
+                        for k, (least, most) in enumerate(split):
+                            a, b = at - least, at + window - most
+                            if lo <= a and b <= hi:
+                                rows.append((k, xxh3_128_digest(raw[a:b], seed=k), raw[max(lo, at - most) : a], raw[b : min(hi, at + window - least)], x["a"], x["r"]))
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def window_rows(window: int, gram: int):
+    """PARTS to (w, before, a, r): a digest of each window, and the number of its bytes before the minimizer."""
+    schema = mark_schema(["w", "before", "a", "r"], [pa.binary(), pa.int32(), pa.int64(), pa.int64()])
+    split = ranges(window, gram)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            rows = []
+            for k, core, head, tail, a, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                least, most = split[k]
+                for d in range(max(least, most - len(tail)), min(most, least + len(head)) + 1):
+                    own = core + head[len(head) - (d - least) :] + tail[: most - d]
+                    rows.append((xxh3_128_digest(own, seed=d), d, a, r))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def among(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """rows with the count of rows of their key; counts are pre-aggregated, and a hot key's rows dealt by salt."""
+    counts = rows.groupBy(*key).agg(F.count("*").alias(name)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod("r", F.lit(SALTS)).cast("int")).join(counts, [*key, "salt"]).drop("salt")
+
+
+def hot_cover(parts: DataFrame, window: int, gram: int) -> DataFrame:
+    """(a, r, cover) for hot minimizers, by counting: a group of any size is spread over the cluster.
+
+    Windows of a range share its core.  A core found once repeats no window; equal ends repeat all of its range; what
+    is left, mostly the edges of a very common passage, is settled window by window.
+    """
+    split = F.array(*[F.array(F.lit(-most), F.lit(window - least)) for least, most in ranges(window, gram)])
+    own = cut(among(among(parts, ["core"], "same_core").where("same_core > 1"), ["core", "head", "tail"], "same"))
+    whole = own.where("same > 1").select("a", "r", F.get(split, F.col("part")).alias("cover"))
+    open_parts = own.where("same = 1").select("part", "core", "head", "tail", "a", "r")
+    # The other copies of an equal stretch count as one partner for these.
+    partners = own.where("same > 1").groupBy("part", "core", "head", "tail").agg(F.min("a").alias("a"), F.min("r").alias("r"))
+    windows = open_parts.unionByName(partners).mapInArrow(window_rows(window, gram), "w binary, before int, a long, r long")
+    single = among(windows, ["w"], "same").where("same > 1").select("a", "r", F.array(-F.col("before"), window - F.col("before")).alias("cover"))
+    return whole.unionByName(single).groupBy("a", "r").agg(F.flatten(F.collect_set("cover")).alias("cover"))
+
+
 def repeated_cover(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, shard_strings: int = SHARD_STRINGS, hot_forms: int = HOT_FORMS) -> DataFrame:
     """(key, spans): for each distinct text (key: its MD5 digest) with repeats, places and bounds of repeated stretches."""
     texts = docs.select(F.unhex(F.md5("text")).alias("key"), "text").where(F.octet_length("text") >= window)
@@ -202,13 +255,19 @@ def repeated_cover(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, s
     forms = cut(forms.withColumn("salt", F.pmod("r", F.lit(SALTS)).cast("int")).join(totals, ["a", "salt"]).drop("salt"))
     tidy(docs.sparkSession)
     mixed = forms.where("n < total")  # others have the minimizer, with other surroundings
-    place = F.struct("a", "r", F.col("at.at").alias("at"), (F.col("total") > hot_forms).alias("hot"))
-    wanted = mixed.select(F.col("at.key").alias("key"), place.alias("x"))
-    wanted = wanted.groupBy("key").agg(F.collect_list("x").alias("wanted"))  # no more than the places of one text
-    once = texts.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
-    strings = once.select("text", "wanted").mapInArrow(string_rows(window, gram), STRINGS)
-    sorted_strings = strings.repartition("shard").sortWithinPartitions("shard")
+
+    def surroundings_of(places: DataFrame, make, schema: str) -> DataFrame:
+        wanted = places.select(F.col("at.key").alias("key"), F.struct("a", "r", F.col("at.at").alias("at")).alias("x"))
+        wanted = wanted.groupBy("key").agg(F.collect_list("x").alias("wanted"))  # no more than the places of one text
+        once = texts.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
+        return once.select("text", "wanted").mapInArrow(make(window, gram), schema)
+
+    strings = surroundings_of(mixed.where(F.col("total") <= hot_forms), string_rows, STRINGS)
+    sorted_strings = strings.repartition("a").sortWithinPartitions("a")
     part = sorted_strings.mapInArrow(sort_shards(window, gram, shard_strings), "a long, r long, cover array<int>")
+    hot = mixed.where(F.col("total") > hot_forms)
+    if not hot.isEmpty():
+        part = part.unionByName(hot_cover(cut(surroundings_of(hot, part_rows, PARTS)), window, gram))
     whole = F.array(F.lit(-(window - gram)), F.lit(window))  # bounds of the text cut these
     cover = forms.where("n > 1").select("a", "r", whole.alias("cover")).unionByName(
         part.join(forms.where("n = 1").select("a", "r"), ["a", "r"], "left_semi")
