@@ -18,6 +18,7 @@ If a window would reach the ends of both parts, it is their whole text, which is
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -158,17 +159,15 @@ class Codec:
         if len(pieces) > self.most:
             pieces = self.pieces = {}
         for w in set(words).difference(memo):
-            if self.split is None or max(w) >= "\u0250":
+            if self.split is None or not (w.isascii() or max(w) < "\u0250"):
                 memo[w] = tuple(self.lib.encode(w, add_special_tokens=False).ids)
                 continue
-            ids: list[int] = []
-            for p in self.split.findall(w.lower()):  # Latin letters: lower case and classes as the tokenizer has them
-                got = pieces.get(p)
-                if got is None:
+            found = self.split.findall(w.lower())  # Latin letters: lower case and classes as the tokenizer has them
+            for p in found:
+                if p not in pieces:
                     shown = p if p.isascii() else "".join([self.word.bytes[b] for b in p.encode()])
-                    got = pieces[p] = tuple([t.id for t in self.lib.model.tokenize(shown)])
-                ids += got
-            memo[w] = tuple(ids)
+                    pieces[p] = tuple([t.id for t in self.lib.model.tokenize(shown)])
+            memo[w] = pieces[found[0]] if len(found) == 1 else tuple(chain.from_iterable([pieces[p] for p in found]))
 
     def leaves(self, text: str) -> list[tuple[int, int]]:
         """Leaves of the tree of halves, cut at arbitrary places."""
@@ -314,7 +313,11 @@ def make(path: str, leaf_chars: int):
     codec = shared_codec(path, leaf_chars)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        ids = codec.encode([t or "" for t in cols["text"]])
+        gc.disable()  # nothing here is cyclic, and the memo is large to walk
+        try:
+            ids = codec.encode([t or "" for t in cols["text"]])
+        finally:
+            gc.enable()
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         return {
             "doc_id": cols["doc_id"],
