@@ -57,6 +57,13 @@ def within_size(body: Column) -> Column:
     return F.octet_length(body).between(1, MOST_BYTES)
 
 
+def head_allows(content_type: Column, content_length: Column) -> Column:
+    """The older check before a fetch: some kind of text or XML, and not too long where a length is given."""
+    kind = F.lower(F.coalesce(content_type, F.lit("")))
+    named = F.exists(F.array(F.lit("xml"), F.lit("text"), F.lit("application")), lambda k: F.contains(kind, k))
+    return named & (F.coalesce(content_length, F.lit(0)) <= MOST_BYTES)
+
+
 def is_index(text: Column) -> Column:
     return text.rlike(r"(?is)<(?:[A-Za-z0-9_-]+:)?sitemapindex\b")
 

@@ -19,6 +19,8 @@ def test_crawl_is_breadth_first_and_bounded(spark):
         assert set(run(limit=n)) <= set(run(limit=n + 1))
     ok = spark.createDataFrame([(u,) for u in "rbcdx"], "url string")
     assert {k[1] for k in run(ok=ok) if k[0] == "s"} == {"r", "b", "c", "d"}
+    assert {k[1] for k in run(ok=ok, limit=3) if k[0] == "s"} == {"r", "b", "c"}
+    assert {k[1] for k in run(ok=ok, limit=3, count_failed=True) if k[0] == "s"} == {"r", "b"}
     limits = spark.createDataFrame([("s", 2)], "domain string, limit int")
     assert len(run(limit=1, limits=limits)) == 3
 
@@ -42,6 +44,11 @@ def test_sitemaps(spark):
     assert len(xml) == 3
 
 
+def test_head_check(spark):
+    rows = spark.createDataFrame([("text/xml", 10), ("image/png", 10), ("application/gzip", None), ("text/html", 60 << 20), (None, 1)], "t string, n long")
+    assert [r.ok for r in rows.select(sitemaps.head_allows(F.col("t"), F.col("n")).alias("ok")).collect()] == [True, False, True, False, False]
+
+
 def test_cache(spark):
     log = spark.createDataFrame([("a", "1", 0.0), ("a", "2", 50.0), ("b", "x", 10.0), ("b", None, 20.0), ("c", "old", -100.0)], "key string, value string, ts double")
     assert {tuple(r) for r in cache.get(log, F.lit(100.0), ttl=100).select("key", "value").collect()} == {("a", "2")}
