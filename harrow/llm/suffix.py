@@ -33,7 +33,7 @@ GRAM = 32
 SHARD_STRINGS = 1 << 15
 #: A minimizer with more occurrences is not sorted in one shard.  Its windows are told apart by where it lies in them,
 #: in this many ranges, by the bytes that all windows of a range have in common, and then one by one.
-HOT_FORMS = 1 << 14
+HOT_FORMS = 1 << 16
 RANGES = 16
 #: Copies of the totals of repeated minimizers that its surroundings are dealt to.
 SALTS = 8
