@@ -253,7 +253,12 @@ def keep_one(docs: DataFrame, *, width: int = SHINGLE, radius: int = RADIUS, see
     text_key = F.xxhash64(F.coalesce("text", F.lit("")))
     slim = docs.select("doc_id", "text", text_key.alias("text_key"))
     fp = cut(map_columns(slim, "doc_id long, text_key long, fp long", make, width, seed))
-    own = fp.join(classes(fp, radius), "fp")
+    return keep_first(docs, fp.join(classes(fp, radius), "fp"))
+
+
+def keep_first(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """The row of each root that comes first; ``own`` has doc_id, text_key and root of every row."""
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
     first = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("x"))
     first = first.select(F.col("x.doc_id").alias("keep_doc_id"), F.col("x.text_key").alias("keep_text_key"))
     kept = docs.withColumn("harrow_text_key", text_key).join(
