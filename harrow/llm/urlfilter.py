@@ -2,7 +2,8 @@
 
 A url gets the verdict of the longest rule that fits it.  For all others the host decides: trust spreads by
 personalised PageRank from hosts with allowed pages along links, distrust from hosts with blocked pages against them
-(who links to a bad host is suspect).  A host is blocked if its share of all distrust exceeds both its share of all
+(who links to a bad host is suspect).  Hosts that are only linked to are nodes as well, and seeds if the urls of their
+links fit a rule.  A host is blocked if its share of all distrust exceeds both its share of all
 pages and its share of all trust.  The graph is hosts only: links are counted per pair of hosts before anything else,
 so a host with a third of all pages is one node, and its pages are never grouped.
 """
@@ -17,11 +18,15 @@ from .common import cut
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 DAMPING = 0.85
 ROUNDS = 10
+#: Share of a score's seeds that the rounds to come may still move when the iteration stops.
+TOLERANCE = 1e-10
 LIFT = 1.0
 #: Blocked hosts that are sent to every task; more are joined by host and salt.
 MOST_BROADCAST = 100_000
 SALTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The same with the path after the host.
+LINK_URL = r"""(?i)\bhref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^/?#"'\s<>]+[^?#"'\s<>]*)"""
 LINK = r"""(?i)\bhref\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
 
@@ -42,8 +47,21 @@ def by_rules(rules: list[tuple[str, str]]) -> Column:
     return out
 
 
-def propagate(pages: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, pages, trust, distrust) from pages with host, verdict and html; each score sums to at most one."""
+def linked_seeds(pages: DataFrame, hosts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """(host, good, bad) of hosts without pages: distinct urls that pages link to, by the verdict of their rule."""
+    found = pages.where("host != ''").select(F.explode(F.regexp_extract_all("html", F.lit(LINK_URL), F.lit(1))).alias("url"))
+    host, path = host_and_path(F.regexp_replace("url", "^[^/]*//", "http://"))
+    urls = found.select(host.alias("host"), path.alias("path")).distinct().join(hosts.select("host"), "host", "left_anti")
+    urls = urls.withColumn("verdict", by_rules(rules)["verdict"]).where("verdict is not null")
+    return urls.groupBy("host").agg(F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad"))
+
+
+def propagate(pages: DataFrame, *, damping: float = DAMPING, rounds: int | None = ROUNDS, rules: list[tuple[str, str]] = RULES, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, pages, trust, distrust) from pages with host, verdict and html; each score sums to at most one.
+
+    Hosts that are only linked to have no pages.  ``rounds`` of None iterates until what is still to come of both
+    scores is less than ``tolerance``.
+    """
     hosts = cut(
         pages.where("host != ''").groupBy("host").agg(
             F.count("*").alias("pages"), F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad")
@@ -51,28 +69,40 @@ def propagate(pages: DataFrame, *, damping: float = DAMPING, rounds: int = ROUND
     )
     found = pages.where("host != ''").select("host", F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("to"))
     found = found.select(F.col("host").alias("src"), F.translate("to", UPPER, LOWER).alias("dst")).where("src != dst")
-    counted = found.groupBy("src", "dst").agg(F.count("*").alias("n")).join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi")
+    counted = cut(found.groupBy("src", "dst").agg(F.count("*").alias("n")))
     ways = counted.select(F.explode(F.array(
         F.struct(F.col("src"), F.col("dst"), F.lit("trust").alias("kind"), F.col("n")),
         F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("distrust").alias("kind"), F.col("n")),
     )).alias("e")).select("e.*")
     total = ways.groupBy("src", "kind").agg(F.sum("n").alias("total"))
     edges = cut(ways.join(total, ["src", "kind"]).select(F.col("src").alias("host"), "kind", "dst", (F.col("n") / F.col("total")).alias("w")))
-    seeds = hosts.select("host", F.explode(F.array(
+    linked = not edges.isEmpty()
+    known = hosts.select("host", "good", "bad")
+    if linked:
+        known = known.unionByName(linked_seeds(pages, hosts, rules))
+    seeds = known.select("host", F.explode(F.array(
         F.struct(F.lit("trust").alias("kind"), F.col("good").alias("n")), F.struct(F.lit("distrust").alias("kind"), F.col("bad").alias("n"))
     )).alias("x")).select("host", "x.kind", "x.n").where("n > 0")
     sums = seeds.groupBy("kind").agg(F.sum("n").alias("total"))
     seeds = cut(seeds.join(F.broadcast(sums), "kind").select("host", "kind", ((1 - damping) * F.col("n") / F.col("total")).alias("score")))
-    now = seeds
-    if not edges.isEmpty():
-        for _ in range(rounds):
-            moved = now.join(edges, ["host", "kind"]).select(F.col("dst").alias("host"), "kind", (damping * F.col("score") * F.col("w")).alias("score"))
-            now = cut(moved.unionByName(seeds).groupBy("host", "kind").agg(F.sum("score").alias("score")))
+    mass = lambda x: x.agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("m")).head().m
+    now, done = seeds, 0
+    before = mass(now) if linked and rounds is None else 0.0
+    while linked and done != rounds:
+        moved = now.join(edges, ["host", "kind"]).select(F.col("dst").alias("host"), "kind", (damping * F.col("score") * F.col("w")).alias("score"))
+        now = cut(moved.unionByName(seeds).groupBy("host", "kind").agg(F.sum("score").alias("score")))
+        done += 1
+        if rounds is None:  # no score ever falls, and each round adds at most damping times what the last one added
+            after = mass(now)
+            if (after - before) * damping < tolerance * (1 - damping):
+                break
+            before = after
     score = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
-    return hosts.select("host", "pages").join(now.groupBy("host").agg(score("trust"), score("distrust")), "host", "left").na.fill(0.0, ["trust", "distrust"])
+    scores = now.groupBy("host").agg(score("trust"), score("distrust"))
+    return hosts.select("host", "pages").join(scores, "host", "full").na.fill(0.0, ["trust", "distrust"]).na.fill(0, ["pages"])
 
 
-def judge_pages(pages: DataFrame, *, rules: list[tuple[str, str]] = RULES, damping: float = DAMPING, rounds: int = ROUNDS, lift: float = LIFT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def judge_pages(pages: DataFrame, *, rules: list[tuple[str, str]] = RULES, damping: float = DAMPING, rounds: int | None = None, lift: float = LIFT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """page_id, host, path, rule, verdict: one row per input row.
 
     A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed.  Null html has no
@@ -81,7 +111,7 @@ def judge_pages(pages: DataFrame, *, rules: list[tuple[str, str]] = RULES, dampi
     host, path = host_and_path(F.col("url"))
     own = pages.select("page_id", "html", host.alias("host"), path.alias("path")).withColumn("by_rule", by_rules(rules))
     own = own.select("page_id", "html", "host", "path", "by_rule.rule", "by_rule.verdict")
-    scores = propagate(own, damping=damping, rounds=rounds)
+    scores = propagate(own, damping=damping, rounds=rounds, rules=rules)
     sums = scores.agg(F.sum("pages").alias("p"), F.sum("trust").alias("t"), F.sum("distrust").alias("d"))
     share = lambda a, b: F.coalesce(F.round(F.try_divide(F.col(a), F.col(b)), 9), F.lit(0.0))
     bad = scores.crossJoin(F.broadcast(sums)).where(  # one row of sums
@@ -100,7 +130,7 @@ def judge_pages(pages: DataFrame, *, rules: list[tuple[str, str]] = RULES, dampi
 
 
 def judge_sql(damping: float = DAMPING, rounds: int = ROUNDS, lift: float = LIFT) -> str:
-    """The same in SQL, for the rules above, its rounds written out."""
+    """The same in SQL, for the rules above and links within a host only: it has ten rounds, and hosts with pages only."""
     fits, cases = [], []
     for rule, verdict in sorted(RULES, key=lambda x: -len(x[0])):
         host, slash, path = rule.partition("/")

@@ -85,3 +85,29 @@ def test_scores_against_brute_force(spark):
         frame = pages.select("html", host.alias("host"), path.alias("path")).withColumn("r", urlfilter.by_rules(urlfilter.RULES)).select("html", "host", "r.verdict")
         got = {r.host: r[kind] for r in urlfilter.propagate(frame).collect()}
         assert all(abs(got[h] - now.get(h, 0)) < 1e-9 for h in size)
+
+
+def test_hosts_without_pages_are_nodes_and_seeds(spark):
+    link = lambda *urls: "".join(f'<a href="{u}">x</a>' for u in urls)
+    rows = [(0, "http://blog.example.org/a", link("https://SPAM.net/offer")), (1, "http://via.com/", link("//between.com/x"))]
+    rows += [(2, "http://other.com/", ""), (3, "http://other.com/b", link("http://between.com/")), (4, "http://good.com/", link("http://a.org/fr/?q"))]
+    rows += [(i, f"http://quiet{i}.com/", None) for i in range(10, 30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    verdict = {r.page_id: r.verdict for r in urlfilter.judge_pages(pages).collect()}
+    assert verdict.pop(0) == "block" and set(verdict.values()) == {"allow"}
+    host, path = urlfilter.host_and_path(pages["url"])
+    frame = pages.select("html", host.alias("host"), path.alias("path")).withColumn("verdict", urlfilter.by_rules(urlfilter.RULES)["verdict"])
+    got = {r.host: r for r in urlfilter.propagate(frame, rounds=None).collect()}
+    assert (got["spam.net"].pages, got["a.org"].pages) == (0, 0)
+    assert abs(got["spam.net"].distrust - 0.15) < 1e-9 and abs(got["blog.example.org"].distrust - 0.15 * 0.85) < 1e-9
+    assert abs(got["a.org"].trust - 0.15) < 1e-9
+
+
+def test_scores_reach_far_hosts(spark):
+    n = 24
+    rows = [(i, f"http://h{i}.com/", f'<a href="http://h{i + 1}.com/">') for i in range(n)] + [(n, f"http://h{n}.com/", '<a href="http://bad.net/">')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    host, path = urlfilter.host_and_path(pages["url"])
+    frame = pages.select("html", host.alias("host"), path.alias("path")).withColumn("verdict", urlfilter.by_rules(urlfilter.RULES)["verdict"])
+    got = {r.host: r.distrust for r in urlfilter.propagate(frame, rounds=None).collect()}
+    assert all(abs(got[f"h{i}.com"] - 0.15 * 0.85 ** (n + 1 - i)) < 1e-9 for i in range(n + 1))
