@@ -9,12 +9,13 @@ from pyspark.sql.window import Window
 from ..runtime import cut
 
 
-def crawl(seeds: DataFrame, links: DataFrame, *, limit: int | None = None, limits: DataFrame | None = None, max_depth: int = 60, ok: DataFrame | None = None, count_failed: bool = False) -> DataFrame:
+def crawl(seeds: DataFrame, links: DataFrame, *, limit: int | None = None, limits: DataFrame | None = None, max_depth: int | None = None, ok: DataFrame | None = None, count_failed: bool = False, most_levels: int = 100_000) -> DataFrame:
     """(domain, url, depth, visit): pages in first-in, first-out order, at most ``limit`` fetched for each domain.
 
     ``seeds``: (domain, url); ``links``: (src, link_pos, dst), targets already resolved and filtered; ``ok``: pages
     that answer (all, if not given) - others are seen but neither counted nor followed; ``limits``: (domain, limit).
     ``count_failed`` counts pages before they are fetched, so that failures use up the limit as well.
+    Without ``max_depth`` the crawl goes on until a level is empty; beyond ``most_levels`` it fails, it never stops short.
     Order within a level is that of the parent and of the link in it.  Each level is checkpointed, so plans stay
     short; a level costs one join with the links and one anti join with what was seen.
     """
@@ -28,7 +29,7 @@ def crawl(seeds: DataFrame, links: DataFrame, *, limit: int | None = None, limit
     else:
         counts = counts.withColumn("most", F.lit(None).cast("long"))
     counts = cut(counts.withColumn("most", F.coalesce("most", F.lit(limit).cast("long"), F.lit(1 << 40))))
-    for depth in range(max_depth + 1):
+    for depth in range(most_levels):
         good = level.join(ok.select("url"), "url", "left_semi") if ok is not None and not count_failed else level
         numbered = good.withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy("ord")))
         got = numbered.join(counts, "domain").where(F.col("k") + F.col("n") <= F.col("most"))
@@ -37,6 +38,10 @@ def crawl(seeds: DataFrame, links: DataFrame, *, limit: int | None = None, limit
         if ok is not None and count_failed:
             got = got.join(ok.select("url"), "url", "left_semi").select(*got.columns)
         fetched = got if fetched is None else fetched.unionByName(got)
+        if depth == max_depth:
+            break
+        if depth % 20 == 19:
+            fetched = cut(fetched)  # a union of many levels is too deep a plan
         targets = got.join(links, got["url"] == links["src"]).select("domain", F.col("dst").alias("url"), "ord", "link_pos")
         first = targets.groupBy("domain", "url").agg(F.min(F.struct("ord", "link_pos")).alias("at"))
         fresh = first.join(seen, ["domain", "url"], "left_anti")
@@ -45,4 +50,6 @@ def crawl(seeds: DataFrame, links: DataFrame, *, limit: int | None = None, limit
         if level.isEmpty():
             break
         seen = cut(seen.unionByName(level.select("domain", "url")))
+    else:
+        raise RuntimeError(f"the crawl did not end within {most_levels} levels")
     return fetched.select("domain", "url", "depth", "visit")

@@ -138,3 +138,15 @@ def test_whole_run(spark):
     assert {tuple(r) for r in out.collect()} == {("Alpha GmbH", "alpha.de", "office@alpha.de"), ("Beta Ltd", "beta.com", "who@beta.com"), ("Gamma", "gamma.org", None)}
     total = stats.sum_flags(flags).head().asDict()
     assert (total["leads"], total["no_google"], total["domain_unclear"], total["skipped_domain"], total["domain"], total["with_email"], total["without_email"], total["sitemap"]) == (6, 1, 1, 1, 3, 2, 1, 1)
+
+
+def test_crawl_ends_when_a_level_is_empty_or_fails(spark):
+    import inspect
+
+    seeds = spark.createDataFrame([("d", "p0")], "domain string, url string")
+    links = spark.createDataFrame([(f"p{i}", 0, f"p{i + 1}") for i in range(3)], "src string, link_pos int, dst string").coalesce(1)
+    assert sorted((r.depth, r.url) for r in frontier.crawl(seeds, links, most_levels=4).collect()) == [(i, f"p{i}") for i in range(4)]
+    with pytest.raises(RuntimeError):
+        frontier.crawl(seeds, links, most_levels=2)
+    assert sorted(r.depth for r in frontier.crawl(seeds, links, max_depth=1, most_levels=9).collect()) == [0, 1]
+    assert inspect.signature(frontier.crawl).parameters["max_depth"].default is None
