@@ -218,8 +218,8 @@ def domain_best(s, d):
 
 def domain_score_fuzzy(s, d):
     """General similarity of supplier names and hosts: compared with brute force in the tests, not in SQL."""
-    hosts = read(s, d, "pages").select(urls.normalise_domain(F.col("url")).alias("host")).distinct().withColumn("i", F.pmod(F.xxhash64("host"), F.lit(10)))
-    rows = read(s, d, "supplier").withColumn("i", F.col("s_suppkey") % 10).join(hosts, "i")
+    hosts = read(s, d, "pages").select(urls.normalise_domain(F.col("url")).alias("host")).distinct()
+    rows = read(s, d, "supplier").crossJoin(hosts)
     return rows.select("s_suppkey", "host", F.round(scoring.score_domain(F.col("s_name"), F.concat(F.lit("https://"), "host")), 6).alias("score"))
 
 

@@ -73,3 +73,13 @@ def test_plans_push_down_and_stay_native(spark, sf_dir):
     for name in ("emails_from_text", "extract_cascade", "url_canonicalise_query", "cache_ttl_lookup"):
         plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_fuzzy_scores_cover_all_pairs(spark, sf_dir):
+    from harrow.functions import urls
+
+    keys = {r.s_suppkey for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").collect()}
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    hosts = {r.host for r in pages.select(urls.normalise_domain(pages["url"]).alias("host")).collect()}
+    got = [(r.s_suppkey, r.host) for r in catalog.domain_score_fuzzy(spark, sf_dir).collect()]
+    assert len(got) == len(keys) * len(hosts) and set(got) == {(k, h) for k in keys for h in hosts}
