@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import os
+import shutil
 import tempfile
-import time
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 SHIPPED: set[str] = set()
+#: Has Spark delete the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -21,7 +23,9 @@ def ship(spark: SparkSession) -> None:
     if "site-packages" in root.parts or str(root) in map(os.path.abspath, known) or spark.sparkContext.applicationId in SHIPPED:
         return
     SHIPPED.add(spark.sparkContext.applicationId)
-    target = Path(tempfile.mkdtemp(prefix="harrow-package-")) / "harrow.zip"
+    folder = tempfile.mkdtemp(prefix="harrow-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "harrow.zip"
     with zipfile.ZipFile(target, "w") as z:
         for f in sorted((root / "harrow").rglob("*.py")):
             z.write(f, f.relative_to(root))
@@ -29,28 +33,43 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; make a local one only where it names none (tests)."""
+    """Use the shared folder that the cluster names; make a local one only where the master is local and names none."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="harrow-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="harrow-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and cut the lineage; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise in the shared checkpoint folder and cut the lineage; survives lost executors.
 
+    The shuffle files of the plan are deleted as soon as it is materialised: nothing reads them again.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the setting holds for plans made from here on
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
-def tidy(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle and checkpoint files of plans that nothing refers to any more.
 
-    Spark does so when the driver's JVM collects its garbage, which may be long after a job of many steps has filled
-    the disks; steps that materialise call this, at most a few dozen times a job.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.range(1).collect()  # the scheduler keeps the last job's plan until the next job
-        time.sleep(1)  # a thread hands back, one by one, what Python no longer refers to
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def discard(*frames: DataFrame) -> None:
+    """Delete the checkpoint files of frames that nothing will read again."""
+    for df in frames:
+        rdd = df._jdf.queryExecution().analyzed().rdd()
+        name = rdd.getCheckpointFile()
+        if name.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name.get())
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Nothing is left to do: ``cut`` deletes shuffle files at once, ``discard`` checkpoints."""
