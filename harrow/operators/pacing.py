@@ -1,33 +1,30 @@
-"""Request pacing as folds over ordered arrivals, and retry schedules."""
+"""Request pacing over ordered arrivals, and retry schedules."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 LEAST_RATE = 0.01
 
 
-def arrivals(rows: DataFrame, key: str, ts: Column) -> DataFrame:
-    """(key, at): sorted arrival seconds of each key.
-
-    A fold needs a key's arrivals together and in order; keys are domains, whose request logs are bounded by the crawl
-    limits.  For unbounded logs use the streaming form, which keeps one state a key.
-    """
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list(ts)).alias("at"))
+def numbered(rows: DataFrame, key: str, ts: Column) -> DataFrame:
+    """(key, n, arrive): arrival seconds, numbered from 0 within each key."""
+    own = rows.select(key, ts.alias("arrive"))
+    return own.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("arrive")) - 1).alias("n"), "arrive")
 
 
 def min_interval(rows: DataFrame, key: str, ts: Column, rate: float = 1.0) -> DataFrame:
-    """(key, n, arrive, start, wait): start_i = max(arrive_i, start_(i-1) + 1/rate)."""
-    step = 1.0 / max(rate, LEAST_RATE)
-    zero = F.struct(F.lit(float("-inf")).alias("last"), F.expr("cast(array() as array<struct<arrive:double,start:double>>)").alias("out"))
+    """(key, n, arrive, start, wait): start_i = max(arrive_i, start_(i-1) + 1/rate).
 
-    def next_(acc: Column, t: Column) -> Column:
-        start = F.greatest(t, acc["last"] + step)
-        return F.struct(start.alias("last"), F.concat(acc["out"], F.array(F.struct(t.alias("arrive"), start.alias("start")))).alias("out"))
-
-    done = arrivals(rows, key, ts).select(key, F.posexplode(F.aggregate("at", zero, next_, lambda a: a["out"])).alias("n", "x"))
-    return done.select(key, "n", "x.arrive", "x.start", F.round(F.col("x.start") - F.col("x.arrive"), 6).alias("wait"))
+    That is i/rate plus the greatest arrive_j - j/rate so far: one window, sorted with spilling, no array of a key.
+    """
+    step = 1.0 / max(rate, LEAST_RATE)
+    own = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    late = F.max(F.col("arrive") - F.col("n") * step).over(own)
+    done = numbered(rows, key, ts).withColumn("start", F.greatest(F.col("arrive"), F.round(F.col("n") * step + late, 9)))
+    return done.select(key, "n", "arrive", "start", F.round(F.col("start") - F.col("arrive"), 6).alias("wait"))
 
 
 def token_bucket(rows: DataFrame, key: str, ts: Column, rate: float, capacity: float, *, mode: str = "standard") -> DataFrame:
@@ -38,24 +35,31 @@ def token_bucket(rows: DataFrame, key: str, ts: Column, rate: float, capacity: f
     """
     if rate <= 0:
         raise ValueError("rate must be positive")
-    zero = F.struct(
-        F.lit(None).cast("double").alias("last"), F.lit(float(capacity)).alias("tokens"), F.lit(float("-inf")).alias("free"),
-        F.expr("cast(array() as array<struct<arrive:double,wait:double>>)").alias("out"),
-    )
-
-    def next_(acc: Column, t: Column) -> Column:
-        now = F.greatest(t, acc["free"])
-        have = F.least(F.lit(float(capacity)), acc["tokens"] + (now - F.coalesce(acc["last"], now)) * rate)
-        wait = F.when(have >= 1, 0.0).otherwise((1 - have) / rate)
-        left = F.when(have >= 1, have - 1).otherwise(0.0)
-        clock = now + wait if mode == "standard" else now
-        return F.struct(
-            clock.alias("last"), left.alias("tokens"), (now + wait).alias("free"),
-            F.concat(acc["out"], F.array(F.struct(t.alias("arrive"), (now + wait - t).alias("wait")))).alias("out"),
-        )
-
-    done = arrivals(rows, key, ts).select(key, F.posexplode(F.aggregate("at", zero, next_, lambda a: a["out"])).alias("n", "x"))
-    return done.select(key, "n", "x.arrive", F.round("x.wait", 6).alias("wait"))
+    own = rows.select(key, ts.cast("double").alias("arrive"))
+    kind = own.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        last_key, n, clock, tokens, free = object(), 0, 0.0, 0.0, 0.0  # all that a key needs to have remembered
+        for batch in batches:
+            numbers, waits = [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != last_key:
+                    last_key, n, clock, tokens, free = k, 0, None, float(capacity), float("-inf")
+                now = max(t, free)
+                have = min(float(capacity), tokens + (now - (now if clock is None else clock)) * rate)
+                wait = 0.0 if have >= 1 else (1 - have) / rate
+                tokens = have - 1 if have >= 1 else 0.0
+                free = now + wait
+                clock = free if mode == "standard" else now
+                numbers.append(n)
+                waits.append(round(free - t, 6))
+                n += 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int32()), batch.column(1), pa.array(waits, pa.float64())], names=[key, "n", "arrive", "wait"])
+
+    dealt = own.where("arrive is not null").repartition(key).sortWithinPartitions(key, "arrive")
+    return dealt.mapInArrow(run, f"`{key}` {kind}, n int, arrive double, wait double")
 
 
 def backoff(attempts: Column, delay: float, factor: float = 2.0) -> Column:

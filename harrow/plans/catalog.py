@@ -367,9 +367,9 @@ def batch_numbers(s, d):
 
 
 def request_gaps(s, d):
-    e = read(s, d, "events").where("event_id % 2 = 0").select("event_id", "user_id", "ts")
     from pyspark.sql.window import Window
 
+    e = read(s, d, "events").select("event_id", "user_id", "ts")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     gap = (micros() - F.lag(micros()).over(w)) / 1e6
     return e.select("event_id", F.round(gap, 3).alias("gap"))

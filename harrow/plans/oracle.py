@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.emails import BLACKLIST, FILE_EXTENSIONS, GENERIC_TLDS, ROLES
-from ..functions.scoring import COMPANY_SUFFIXES, TWO_LABEL_SUFFIXES
+from ..functions.scoring import COMPANY_SUFFIXES, SECOND_LEVEL
 
 
 def quoted(items) -> str:
@@ -43,7 +43,7 @@ CANONICAL_QUERY = f"""(WITH q AS (SELECT page_id, {SCHEME} || '://' || {NETLOC}
   list_aggregate(list_transform({PAIRS}, lambda p: {CODE.format('p.k')} || '=' || {CODE.format('p.v')}), 'string_agg', '&') AS tail FROM pages)
   SELECT page_id, front || CASE WHEN coalesce(tail, '') <> '' THEN '?' || tail ELSE '' END AS canonical FROM q)"""
 SUFFIX_CASE = "CASE " + " ".join(f"WHEN ends_with(low, '{s}') THEN left(low, length(low) - {len(s)})" for s in COMPANY_SUFFIXES) + " ELSE low END"
-SPLIT = f"""CASE WHEN len(l) > 2 AND list_aggregate(l[-2:], 'string_agg', '.') IN ({quoted(TWO_LABEL_SUFFIXES)}) THEN 2 WHEN len(l) > 1 THEN 1 ELSE 0 END"""
+SPLIT = f"""CASE WHEN len(l) > 2 AND regexp_full_match(list_aggregate(l[-2:], 'string_agg', '.'), '{SECOND_LEVEL}') THEN 2 WHEN len(l) > 1 THEN 1 ELSE 0 END"""
 LEADS = f"""h AS (SELECT page_id AS input_pos, {DOMAIN} AS host FROM pages),
 l AS (SELECT input_pos, host, string_split(host, '.')[-2] AS label FROM h)"""
 RESULT_ROWS = f"""{DOC_EMAILS}, sites AS (SELECT source, min(doc_id) AS first_doc FROM documents GROUP BY source),
@@ -155,7 +155,7 @@ SELECT event_id, user_id, current, round(100.0::DOUBLE * current / 5, 6) AS perc
 SELECT o_orderstatus, round(100.0::DOUBLE * c / t, 4) AS percent, round((t - c) / (c / s), 4) AS eta, CASE WHEN s < 60 THEN printf('%.1fs', s)
   WHEN s < 3600 THEN (floor(s / 60)::BIGINT) || 'm ' || (floor(s)::BIGINT % 60) || 's' ELSE (floor(s / 3600)::BIGINT) || 'h ' || (floor(s)::BIGINT % 3600 // 60) || 'm' END AS elapsed_text, c >= t AS completed FROM h""",
     "batch_numbers": "SELECT o_orderkey, o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 3 AS batch FROM orders",
-    "request_gaps": "SELECT event_id, round((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6, 3) AS gap FROM events WHERE event_id % 2 = 0",
+    "request_gaps": "SELECT event_id, round((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6, 3) AS gap FROM events",
     "proxy_rank": f"WITH {PROXIES}, r AS (SELECT pos, round(s / (s + f), 6) AS rate FROM p) SELECT 'proxy-' || pos AS url, rate FROM r ORDER BY rate DESC, pos LIMIT 5",
     "proxy_stats": f"WITH {PROXIES} SELECT count(*) AS total, count(*) FILTER (1728000 > banned) AS available, count(*) FILTER (NOT 1728000 > banned) AS banned, round(avg(s / (s + f)), 6) AS mean_rate FROM p",
     "merge_kth": """WITH b AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'own' END AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders WHERE o_orderkey % 2 = 0),

@@ -70,6 +70,3 @@ def discard(*frames: DataFrame) -> None:
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name.get())
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-
-def tidy(spark: SparkSession) -> None:
-    """Nothing is left to do: ``cut`` deletes shuffle files at once, ``discard`` checkpoints."""

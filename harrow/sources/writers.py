@@ -33,9 +33,13 @@ def in_place(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path + ".new")
     old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".new")
     fs = old.getFileSystem(conf)
-    fs.delete(old, True)
+    aside = jvm.org.apache.hadoop.fs.Path(path + ".old")
+    fs.delete(aside, True)
+    if fs.exists(old) and not fs.rename(old, aside):  # one whole table is there at any time, if under another name
+        raise OSError(f"cannot rename {path}")
     if not fs.rename(new, old):
-        raise OSError(f"cannot rename {path}.new")
+        raise OSError(f"cannot rename {path}.new; the table as it was is {path}.old")
+    fs.delete(aside, True)
 
 
 def debug_pages(responses: DataFrame) -> DataFrame:
