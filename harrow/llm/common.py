@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..runtime import cut, discard, ship, tidy
+from ..runtime import cut, discard, ship
 
-__all__ = ["cut", "discard", "map_columns", "ship", "slices", "table", "tidy"]
+__all__ = ["cut", "discard", "map_columns", "ship", "slices", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ NONZERO = 6
 AGAIN = b"\x00="
 HIDDEN = 32
 MAX_TRAIN = 4000
-#: Bytes of text that the training rows may bring to the driver; rows beyond it are left out, the longest first.
+#: Bytes of text that the training rows may bring to the driver; the last by hash of doc_id are left out.
 MAX_TRAIN_BYTES = 48 << 20
 
 
@@ -161,11 +161,11 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = 60, seed: int = 3)
                 second[k] = 0.999 * second[k] + 0.001 * gr * gr
                 q -= 3e-3 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     model.w1, model.b1, model.w2, model.b2 = params[0], params[1], params[2], float(params[3][0])
-    logits, target, w = model.logits(x[held]), y[held], weight[held]
+    logits, target = model.logits(x[held]), y[held]
 
     def loss(t: float) -> float:
         s = np.clip(logits / t, -30, 30)
-        return float((w * (np.log1p(np.exp(s)) - target * s)).mean())
+        return float((np.log1p(np.exp(s)) - target * s).mean())
 
     model.temperature = float(min(np.geomspace(0.25, 8, 61), key=loss))
     return model
@@ -183,7 +183,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
     rows = texts.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_train).collect()
     out, used = [], 0
     for r in rows:
-        used += len(r.text)
+        used += len(r.text.encode())
         if used > MAX_TRAIN_BYTES and out:
             break
         out.append((r.text, int(r.quality)))
