@@ -255,18 +255,18 @@ def _site_links(s, d):
     pages = read(s, d, "pages").select("page_id")
     n = pages.agg(F.count("*").alias("n"))
     rows = pages.join(F.broadcast(n))  # one row
-    to = F.array((F.col("page_id") * 3 + 1) % F.col("n"), (F.col("page_id") * 5 + 2) % F.col("n"))
+    to = F.array((F.col("page_id") * 2 + 1) % F.col("n"), (F.col("page_id") * 2 + 2) % F.col("n"))  # from page 0 all are reached
     return rows.select(F.col("page_id").cast("string").alias("src"), F.posexplode(to).alias("link_pos", "t")).select("src", "link_pos", F.col("t").cast("string").alias("dst"))
 
 
 def crawl_bfs(s, d):
     seeds = s.createDataFrame([("site", "0")], "domain string, url string")
-    return frontier.crawl(seeds, _site_links(s, d), max_depth=6).select("domain", F.col("url").cast("long").alias("page_id"), "depth")
+    return frontier.crawl(seeds, _site_links(s, d)).select("domain", F.col("url").cast("long").alias("page_id"), "depth")
 
 
 def crawl_bfs_limited(s, d):
     seeds = s.createDataFrame([("site", "0")], "domain string, url string")
-    return frontier.crawl(seeds, _site_links(s, d), limit=40, max_depth=6).select("domain", F.col("url").cast("long").alias("page_id"), "depth", "visit")
+    return frontier.crawl(seeds, _site_links(s, d), limit=40).select("domain", F.col("url").cast("long").alias("page_id"), "depth", "visit")
 
 
 def _sitemap_bodies(s, d):

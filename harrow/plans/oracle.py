@@ -51,7 +51,7 @@ hits AS (SELECT DISTINCT d.source, m.email FROM mails m JOIN documents d USING (
 rows AS (SELECT DISTINCT 'Company ' || first_doc AS "Company", s.source AS "Domain", h.email AS "Email" FROM sites s LEFT JOIN hits h ON s.source = h.source)"""
 WALK = """n AS (SELECT count(*) AS n FROM pages), walk AS (
   SELECT 0::BIGINT AS page, 0 AS depth, '' AS way
-  UNION ALL SELECT CASE WHEN pos = 0 THEN (page * 3 + 1) % n ELSE (page * 5 + 2) % n END, depth + 1, way || pos::VARCHAR
+  UNION ALL SELECT (page * 2 + 1 + pos) % n, depth + 1, way || pos::VARCHAR
   FROM walk, n, (SELECT unnest([0, 1]) AS pos) WHERE depth < 6),
 firsts AS (SELECT page, min({'d': depth, 'w': way}) AS f FROM walk GROUP BY page),
 ranked AS (SELECT page, f.d AS depth, row_number() OVER (ORDER BY f.d, f.w) AS visit FROM firsts)"""
@@ -125,7 +125,11 @@ e AS (SELECT floor(value)::BIGINT % 500 + 100 AS s FROM events)
 SELECT k AS leads, 0::BIGINT AS no_google, 0::BIGINT AS google_error, 0::BIGINT AS domain_unclear, k AS domain, 0::BIGINT AS sitemap, w AS with_email, k - w AS without_email,
   0::BIGINT AS processing_error, (SELECT count(*) FROM e) AS total_requests, 0::BIGINT AS skipped_urls, (SELECT count(*) FROM e WHERE s BETWEEN 400 AND 599) AS errors,
   (SELECT count(DISTINCT "Email") FROM rows) AS n_emails FROM k""",
-    "crawl_bfs": f"WITH RECURSIVE {WALK} SELECT 'site' AS domain, page AS page_id, depth FROM ranked",
+    "crawl_bfs": """WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), walk(page, depth) USING KEY (page) AS (
+  SELECT 0::BIGINT, 0
+  UNION SELECT t, (min(depth) + 1)::INTEGER FROM (SELECT unnest([(page * 2 + 1) % n, (page * 2 + 2) % n]) AS t, depth FROM walk, n) AS x
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.walk AS r WHERE r.page = t) GROUP BY t)
+SELECT 'site' AS domain, page AS page_id, depth FROM walk""",
     "crawl_bfs_limited": f"WITH RECURSIVE {WALK} SELECT 'site' AS domain, page AS page_id, depth, visit FROM ranked WHERE visit <= 40",
     "sitemap_locs": f"WITH {LISTED} SELECT domain, (row_number() OVER (PARTITION BY domain ORDER BY page_id) - 1)::INTEGER AS pos, url FROM l",
     "sitemap_priority": f"""WITH {LISTED}, g AS (SELECT domain, url, min(page_id) AS p FROM l WHERE contains(lower(url), '/en/') OR contains(lower(url), '/de/') GROUP BY 1, 2)
