@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
         robots = spark.read.parquet(args.robots) if args.robots else spark.createDataFrame([], "domain string, text string")
         rows, flags = discovery.run(
             companies, results, responses, bodies, robots,
-            threshold=options["DOMAIN_SCORE_THRESHOLD"], parts=options.priority_parts, page_limit=int(options["MAX_FALLBACK_PAGES"]), save_domain_only=args.save_domain_only,
+            threshold=options["DOMAIN_SCORE_THRESHOLD"], parts=options.priority_parts, page_limit=int(options["MAX_FALLBACK_PAGES"]), save_domain_only=args.save_domain_only, process_pdfs=options.process_pdfs,
         )
         writers.results(rows, args.output_file)
         for name, value in stats.summary(flags, responses, rows, time.time() - began).head().asDict().items():

@@ -89,3 +89,13 @@ def cascade_raw(page: Column, rendered: Column | None = None) -> Column:
     for s in reversed(stages):
         out = F.when(F.size(s) > 0, s).otherwise(out)
     return out
+
+
+def cascade_strict(page: Column, blacklist: Sequence[str] = tuple(emails.BLACKLIST), tlds: Sequence[str] | None = None) -> Column:
+    """Strict profile over a page: its markup as it is, mail links, and elements that name a contact, all together."""
+    page = F.coalesce(page, F.lit(""))
+    links = F.filter(html.hrefs(page), lambda h: F.startswith(F.lower(h), F.lit("mailto:")))
+    cleaned = F.transform(links, lambda h: emails.clean_email_strict(F.trim(F.substring(h, F.lit(8), F.length(h)))))
+    linked = F.filter(cleaned, lambda e: emails.is_valid_email_strict(e, blacklist, tlds))
+    shown = [emails.addresses_in_strict(x, blacklist, tlds) for x in (page, html.contact_text(page))]
+    return F.array_sort(F.array_distinct(F.concat(linked, *shown)))

@@ -6,15 +6,35 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .emails import splice
+
 HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-#: Entities that the native text form knows; the exact form knows all.
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#64;", "@"), ("&#46;", "."), ("&amp;", "&")]
+#: Names that the native text form knows beside all numeric entities; the exact form knows all names.
+ENTITIES = [
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&commat;", "@"), ("&period;", "."),
+    ("&lowbar;", "_"), ("&plus;", "+"), ("&percnt;", "%"), ("&amp;", "&"),
+]
+NUMERIC = "&#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"
+
+
+def character(entity: Column) -> Column:
+    """The character of a numeric entity; U+FFFD for 0, surrogates and numbers beyond Unicode, as browsers do."""
+    digits = F.regexp_extract(entity, "([0-9A-Fa-f]+);", 1)
+    n = F.when(F.lower(entity).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
+    known = n.between(1, 1114111) & ~n.between(55296, 57343)
+    return F.when(known, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
 
 
 def unescape_common(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Numeric entities, then the names of ENTITIES, &amp; last.  The lambda names the text, so that it is worked out once."""
+
+    def named(t: Column) -> Column:
+        t = F.when(F.contains(t, F.lit("&#")), splice(t, NUMERIC, character)).otherwise(t)
+        for name, char in ENTITIES:
+            t = F.replace(t, F.lit(name), F.lit(char))
+        return t
+
+    return F.get(F.transform(F.array(text), named), F.lit(0))
 
 
 def text_of(html: Column) -> Column:

@@ -25,6 +25,7 @@ NATIVE: dict[str, tuple[Callable[[Column], Column], str]] = {
     "decode_base64_text": (decoders.decode_base64, "string"),
     "rot13": (decoders.rot13, "string"),
     "page_addresses": (decoders.cascade, "array<string>"),
+    "page_addresses_strict": (decoders.cascade_strict, "array<string>"),
     "html_text": (html.text_of, "string"),
     "html_links": (html.hrefs, "array<string>"),
     "clean_company_name": (scoring.clean_company_name, "string"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PRIORITY_PARTS, words
-from ..functions import decoders, html, scoring, urls
+from ..functions import decoders, emails, html, scoring, urls
 from ..operators import frontier, ranking, sitemaps
 from ..runtime import cut
 
@@ -36,11 +36,18 @@ def resolve_domains(companies: DataFrame, results: DataFrame, *, threshold: floa
     return out.select("input_pos", "company", "link", F.coalesce("score", F.lit(0.0)).alias("score"), "domain", status.alias("status"))
 
 
-def page_addresses(responses: DataFrame, *, mode: str = "first") -> DataFrame:
-    """(url, email) of HTML pages that answered.  The page itself is projected away before any shuffle."""
-    ok = responses.where(F.col("status").between(200, 299) & F.contains("content_type", F.lit("html")))
-    found = ok.select("url", decoders.cascade(F.col("text"), F.col("rendered_html"), mode=mode).alias("emails"))
-    return found.select("url", F.explode("emails").alias("email")).distinct()
+def page_addresses(responses: DataFrame, *, mode: str = "first", process_pdfs: bool = False) -> DataFrame:
+    """(url, email) of responses that answered: HTML by the cascade, all else as plain text; PDF files only if wanted.
+
+    The page itself is projected away before any shuffle; only addresses go through the Python step for xn-- hosts.
+    """
+    ok = responses.where(F.col("status").between(200, 299))
+    if not process_pdfs:
+        ok = ok.where(~urls.is_pdf(F.col("url")))
+    is_html = F.contains(F.coalesce("content_type", F.lit("")), F.lit("html"))
+    read = F.when(is_html, decoders.cascade(F.col("text"), F.col("rendered_html"), mode=mode)).otherwise(emails.addresses_in(F.col("text")))
+    found = ok.select("url", F.explode(read).alias("email")).distinct()
+    return found.select("url", emails.unicode_address(F.col("email")).alias("email")).distinct()
 
 
 def page_links(responses: DataFrame) -> DataFrame:
@@ -67,15 +74,16 @@ def run(
     page_limit: int = 12,
     save_domain_only: bool = False,
     mode: str = "first",
+    process_pdfs: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(results, flags): distinct (Company, Domain, Email) rows, and a row of 0/1 flags for each company.
+    """(results, flags): distinct (Company, Domain, Email) rows in order of the input, and a row of 0/1 flags for each company.
 
     Home page and priority pages of the sitemap first; only domains that gave nothing are crawled.
     """
     resolved = cut(resolve_domains(companies, results, threshold=threshold))
     own = resolved.where("status = 'domain'").select("input_pos", "company", "domain")
     pages = responses.withColumn("key", urls.canonicalise_query(F.col("url")))
-    addresses = cut(page_addresses(pages.withColumn("url", F.col("key")), mode=mode))
+    addresses = cut(page_addresses(pages.withColumn("url", F.col("key")), mode=mode, process_pdfs=process_pdfs))
     home = own.select("domain", urls.canonicalise_query(F.concat(F.lit("https://"), "domain")).alias("url"))
     found = sitemaps.discover(own.select("domain"), bodies, robots)
     listed = sitemaps.pages_of(found, bodies)
@@ -85,10 +93,11 @@ def run(
     start = empty.select("domain", urls.canonicalise_query(F.concat(F.lit("https://"), "domain")).alias("url"))
     answering = pages.where(F.col("status").between(200, 299)).select(F.col("key").alias("url")).distinct()
     crawled = frontier.crawl(start, page_links(pages.withColumn("url", F.col("key"))), limit=page_limit, ok=answering)
-    emails = first.unionByName(crawled.join(addresses, "url").select("domain", "email")).distinct()
-    rows = own.join(emails, "domain", "left" if save_domain_only else "inner")
-    out = rows.select(F.col("company").alias("Company"), F.col("domain").alias("Domain"), F.col("email").alias("Email")).dropDuplicates()
-    has_email = emails.select("domain").distinct().withColumn("has_email", F.lit(True))
+    found_emails = first.unionByName(crawled.join(addresses, "url").select("domain", "email")).distinct()
+    rows = own.join(found_emails, "domain", "left" if save_domain_only else "inner")
+    named = rows.select("input_pos", F.col("company").alias("Company"), F.col("domain").alias("Domain"), F.col("email").alias("Email"))
+    out = named.groupBy("Company", "Domain", "Email").agg(F.min("input_pos").alias("input_pos")).orderBy("input_pos", "Email").drop("input_pos")
+    has_email = found_emails.select("domain").distinct().withColumn("has_email", F.lit(True))
     has_map = priority.select("domain").distinct().withColumn("has_map", F.lit(True))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     status = lambda s: flag(F.col("status") == s)

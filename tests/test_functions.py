@@ -140,3 +140,19 @@ def test_options():
     with pytest.raises(ValueError):
         o.check()
     assert o.updated({"max_workers": 3, "api_key": "k", "unknown": 1})["MAX_WORKERS"] == 3
+
+
+def test_entities_hide_no_address(spark):
+    for text in ("j&#64;firm&#46;de", "j&#x40;firm&#X2e;de", "j&commat;firm&period;de", "<b>j</b>&#0064;firm.de".replace("<b>j</b>", "j")):
+        assert one(spark, decoders.cascade, f"<p>{text}</p>") == ["j@firm.de"]
+    for text in ("&amp;#64;", "&#0;&#xD800;&#1114112;", "&#8364; &#x1F600;", "&;&#;&#x;"):
+        import html as lib
+
+        assert one(spark, html.unescape_common, text) == lib.unescape(text)
+
+
+def test_strict_page_composes_all_parts(spark):
+    page = '<p>a@firm.de</p><a href="MAILTO:B@firm.org?subject=x">m</a><i class="my-contact">c@firm.com</i><img src="x@2x.png"><a href="mailto:d@firm.shop">d</a>'
+    assert one(spark, decoders.cascade_strict, page) == ["a@firm.de", "b@firm.org", "c@firm.com"]
+    assert one(spark, lambda c: decoders.cascade_strict(c, tlds=["shop"]), page) == ["d@firm.shop"]
+    assert one(spark, decoders.cascade_strict, None) == []

@@ -140,6 +140,20 @@ def test_whole_run(spark):
     assert (total["leads"], total["no_google"], total["domain_unclear"], total["skipped_domain"], total["domain"], total["with_email"], total["without_email"], total["sitemap"]) == (6, 1, 1, 1, 3, 2, 1, 1)
 
 
+def test_responses_by_kind(spark):
+    rows = [
+        ("https://a.de/x.txt", 200, "text/plain", "write to a@a.de today", None),
+        ("https://a.de/y", 200, None, "or to <b@a.de> today", None),
+        ("https://a.de/Z.PDF", 200, "application/pdf", "p@a.de", None),
+        ("https://a.de/idna", 200, "text/html", "<p>m@xn--mnchen-3ya.de</p>", None),
+        ("https://a.de/gone", 404, "text/plain", "g@a.de", None),
+        ("https://a.de/null", 200, "text/plain", None, None),
+    ]
+    frame = spark.createDataFrame(rows, "url string, status int, content_type string, text string, rendered_html string")
+    assert {r.email for r in discovery.page_addresses(frame).collect()} == {"a@a.de", "b@a.de", "m@münchen.de"}
+    assert {r.email for r in discovery.page_addresses(frame, process_pdfs=True).collect()} == {"a@a.de", "b@a.de", "p@a.de", "m@münchen.de"}
+
+
 def test_crawl_ends_when_a_level_is_empty_or_fails(spark):
     import inspect
 
