@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chains, packing, quality, rules, secretscan, simhash, suffix, topk, urlfilter
+from . import bpe, chains, packing, quality, rules, secretscan, simhash, suffix, topk, turns, urlfilter
 from .common import table
 
 
@@ -55,6 +55,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_pages(table(spark, sf_dir, "pages"))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repaired_digests(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -87,4 +91,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_topk": topk.TOP_K_SQL,
         "op4_quality_rules": RULES_SQL.format(bits=bits, base=rules.BASE, policy=rules.POLICIES[max(rules.POLICIES)]),
         "op10_url_filter": urlfilter.judge_sql(),
+        "op13_turn_repair": turns.REPAIR_SQL,
     }
