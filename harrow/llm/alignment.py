@@ -20,11 +20,13 @@ string.  Each row counts for itself, also repeated ones; empty tables give no ro
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +38,11 @@ from pyspark.sql.types import StructType
 
 from .bpe import byte_symbols
 from .common import cut, map_columns, ship, slices
+from .packing import shared_encoder
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Characters of remembered pieces of text, for each worker process; then memory starts afresh.
-MEMORY = 8 << 20
+MEMORY = 4 << 20
 PIECE = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*")
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 CHUNKS = (
@@ -57,12 +60,14 @@ class Tokenizers:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.a = Tokenizer.from_file(a_path)
         self.a.no_padding()
         self.a.no_truncation()
         self.a.encode_special_tokens = True  # their strings are ordinary text
         byte = {s: b for b, s in enumerate(byte_symbols())}
         self.a_bytes = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        self.ranks = shared_encoder(a_path).fast
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.b_bytes, self.divisible = {}, True
         for i in range(self.b.get_piece_size()):
@@ -70,45 +75,71 @@ class Tokenizers:
             self.b_bytes[i] = bytes([int(t[3:5], 16)]) if self.b.is_byte(i) else t.replace("▁", " ").encode()
             self.divisible &= "▁" not in t.lstrip("▁")
         self.b_space = self.b.piece_to_id("▁")
+        self.a_sizes, self.b_sizes = (np.array([len(of.get(i, b"")) for i in range(max(of) + 1)], np.int64) for of in (self.a_bytes, self.b_bytes))
 
     def pieces(self, text: str) -> list[str]:
         return PIECE.findall(" " + text) if self.divisible else [" " + text]
 
+    def give_back(self, raw: list[bytes], ids: list[tuple[list[int], list[int]]]) -> list[bool]:
+        """Whether both tokenizers' bytes are those of each piece: compared together, and singly only if that fails."""
+        a, b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        whole = b"".join(raw)
+        if whole == b"".join(map(a, chain.from_iterable(x for x, _ in ids))) == b"".join(map(b, chain.from_iterable(y for _, y in ids))):
+            ends = set(np.cumsum([len(r) for r in raw]).tolist())
+            if all(ends <= set(  # the bytes agree, and so do the places where pieces end
+                np.cumsum(of[np.fromiter(chain.from_iterable(x[k] for x in ids), np.int64)]).tolist()
+            ) for k, of in enumerate((self.a_sizes, self.b_sizes))):
+                return [True] * len(raw)
+        return [b"".join(map(a, x)) == r == b"".join(map(b, y)) for r, (x, y) in zip(raw, ids)]
+
     def ids(self, pieces: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of A and B for each piece, which begins with the space that B adds by itself."""
         b = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        for p, x, y in zip(pieces, self.a.encode_batch(pieces, add_special_tokens=False), b):
-            yield x.ids, [self.b_space] if p == " " else y
-
-
-def root(parent: list[int], i: int) -> int:
-    while parent[i] != i:
-        parent[i] = i = parent[parent[i]]
-    return i
+        # the rank library agrees below U+0250, as the tests of packing show; special tokens' strings are ordinary to it
+        fast = [p.isascii() or max(p) < "ɐ" for p in pieces]
+        rest = iter(self.a.encode_batch([p for p, f in zip(pieces, fast) if not f], add_special_tokens=False))
+        encode = self.ranks.encode_ordinary
+        for p, f, y in zip(pieces, fast, b):
+            yield encode(p) if f else next(rest).ids, [self.b_space] if p == " " else y
 
 
-def components(a_ends: list[int], b_ends: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Places of A's and B's tokens in each connected component of the graph of overlaps, from left to right.
+def roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Union-find over n nodes and edges u-v, many at once: the least node of each node's component.
 
-    Both lists are ascending ends of adjacent tokens from 0 on, with the same last end.
+    Every edge hooks the larger of its ends' roots to the smaller; paths are halved until they are flat.
     """
-    n, i, j = len(a_ends), 0, 0
-    parent = list(range(n + len(b_ends)))
-    while i < n:  # token i of A and token j of B overlap
-        x, y = root(parent, i), root(parent, n + j)
-        parent[max(x, y)] = min(x, y)
-        a, b = a_ends[i], b_ends[j]
-        i, j = i + (a <= b), j + (b <= a)
-    groups: dict[int, tuple[list[int], list[int]]] = {}
-    for i in range(n):
-        groups.setdefault(root(parent, i), ([], []))[0].append(i)
-    for j in range(len(b_ends)):
-        groups[root(parent, n + j)][1].append(j)
-    return list(groups.values())
+    parent = np.arange(n)
+    while True:
+        x, y = parent[u], parent[v]
+        apart = x != y
+        if not apart.any():
+            return parent
+        u, v = u[apart], v[apart]
+        np.minimum.at(parent, np.maximum(x[apart], y[apart]), np.minimum(x[apart], y[apart]))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+
+
+def components(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The component of each A token and of each B token in the graph of overlaps, numbered from left to right.
+
+    Both arrays are ascending ends of adjacent tokens, from 0 on, with the same last end.  Between two neighbouring ends
+    of either kind lies one token of A and one of B: these are the edges.
+    """
+    cuts = np.union1d(a_ends, b_ends)
+    u, v = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts) + len(a_ends)
+    least = roots(len(a_ends) + len(b_ends), u, v)
+    number = np.unique(least, return_inverse=True)[1]  # the least node is the component's first A token
+    return number[: len(a_ends)], number[len(a_ends) :]
 
 
-def ends(ids: list[int], of: dict[int, bytes]) -> list[int]:
-    return np.cumsum([len(of[i]) for i in ids]).tolist()
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each of several ranges, one after the other."""
+    total = int(sizes.sum())
+    return np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
 
 
 class Memory:
@@ -119,37 +150,71 @@ class Memory:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: defaultdict[str, int] = defaultdict()
+        self.known.default_factory = self.known.__len__  # a new piece gets the next number
         self.size = 0
-        self.counts: list[tuple[int, int, int, int]] = []
         self.texts: list[str] = []
-        self.links: list[tuple[np.ndarray, np.ndarray]] = []
-        self.same: list[bool] = []
-
-    def learn(self, pieces: set[str]) -> None:
-        new = sorted(pieces - self.known.keys())
+        #: n_a, n_b, n_groups, n_links, whether the bytes come back, first link, links - a row for each piece
+        self.table = np.zeros((0, 7), np.int64)
+        self.codes = np.zeros(0, np.int64)
+        self.times = np.zeros(0, np.int64)
+
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of all texts by number, and how many each text has; new pieces are learnt."""
+        if self.size > MEMORY:
+            self.clear()
+        get, split = self.known.__getitem__, self.tok.pieces
+        found = [np.fromiter(map(get, split(t)), np.int32) if t else np.zeros(0, np.int32) for t in texts]
+        self.learn(list(islice(reversed(self.known), len(self.known) - len(self.texts)))[::-1])
+        return np.concatenate([np.zeros(0, np.int32), *found]), np.array([len(x) for x in found], np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        for at in range(0, len(new), 50_000):
+            self.learn_some(new[at : at + 50_000])
+
+    def learn_some(self, new: list[str]) -> None:
         tok = self.tok
-        for p, (a, b) in zip(new, tok.ids(new)):
-            self.known[p] = len(self.counts)
-            self.size += len(p)
-            raw = p.encode()
-            same = b"".join(map(tok.a_bytes.__getitem__, a)) == raw == b"".join(map(tok.b_bytes.__getitem__, b))
-            found = components(ends(a, tok.a_bytes), ends(b, tok.b_bytes)) if same else []
-            links: Counter[int] = Counter()
-            for x, y in found:
-                for i, n in Counter(a[k] for k in x).items():
-                    for j, m in Counter(b[k] for k in y).items():
-                        links[i << 32 | j] += n * m
-            self.same.append(same)
-            self.counts.append((len(a), len(b), len(found), sum(links.values())))
-            self.texts.append(";".join(",".join(str(a[k]) for k in x) + "|" + ",".join(str(b[k]) for k in y) for x, y in found))
-            self.links.append((np.fromiter(links.keys(), np.int64, len(links)), np.fromiter(links.values(), np.int64, len(links))))
-
-    def whole(self, text: str) -> list[int]:
-        """The pieces of a text by number; none if its bytes do not come back."""
-        known = self.known
-        got = [known[p] for p in self.tok.pieces(text)]
-        return got if all(map(self.same.__getitem__, got)) else []
+        ids = list(tok.ids(new))
+        a, b = (np.fromiter(chain.from_iterable(x[k] for x in ids), np.int64) for k in (0, 1))
+        na, nb = (np.array([len(x[k]) for x in ids], np.int64) for k in (0, 1))
+        raw = [p.encode() for p in new]
+        same = np.array(tok.give_back(raw, ids))
+        # tokens of pieces that do not come back take no part
+        a, b = a[np.repeat(same, na)], b[np.repeat(same, nb)]
+        na, nb = na * same, nb * same
+        ga, gb = components(np.cumsum(tok.a_sizes[a]), np.cumsum(tok.b_sizes[b])) if len(a) else (a, b)
+        n = int(ga[-1]) + 1 if len(a) else 0
+        ca, cb = np.bincount(ga, minlength=n), np.bincount(gb, minlength=n)
+        of = np.repeat(np.arange(len(new)), na)[np.cumsum(ca) - ca]  # the piece of each group: no group crosses pieces
+        n_groups, n_links = np.bincount(of, minlength=len(new)), np.bincount(of, ca * cb, minlength=len(new)).astype(np.int64)
+        # every pair of A and B tokens in a group, summed by piece
+        left = np.repeat(np.arange(len(a)), cb[ga])
+        right = spread((np.cumsum(cb) - cb)[ga], cb[ga])
+        code, piece = a[left] << 32 | b[right], of[ga[left]]
+        order = np.lexsort((code, piece))
+        code, piece = code[order], piece[order]
+        first = np.ones(len(code), bool)
+        first[1:] = (code[1:] != code[:-1]) | (piece[1:] != piece[:-1])
+        where = np.flatnonzero(first)
+        held = np.bincount(piece[first], minlength=len(new))
+        begin = np.cumsum(held) - held + len(self.codes)
+        self.codes = np.concatenate([self.codes, code[first]])
+        self.times = np.concatenate([self.times, np.diff(np.append(where, len(code)))])
+        self.table = np.concatenate([self.table, np.stack([na, nb, n_groups, n_links, same.astype(np.int64), begin, held], axis=1)])
+        self.texts += self.written(a, b, ga, gb, na + nb)
+        self.size += sum(map(len, new))
+
+    def written(self, a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """``a1,a2|b1;a3|b2`` of each piece."""
+        if not len(a):
+            return [""] * len(sizes)
+        group, side = np.concatenate([ga, gb]), np.concatenate([np.zeros(len(a), np.int64), np.ones(len(b), np.int64)])
+        order = np.lexsort((side, group))  # stable: tokens of a side stay in order
+        group, side, ids = group[order], side[order], np.concatenate([a, b])[order]
+        mark = np.where(np.append(side[1:] == side[:-1], False) & np.append(group[1:] == group[:-1], False), ",", np.where(side == 0, "|", ";"))
+        parts = list(map(str.__add__, map(str, ids.tolist()), mark.tolist()))
+        ends = np.cumsum(sizes).tolist()
+        return ["".join(parts[x:y])[:-1] for x, y in zip([0, *ends], ends)]
 
 
 @lru_cache(maxsize=1)
@@ -159,35 +224,35 @@ def shared_memory(a_path: str, b_path: str) -> Memory:
 
 def aligned_chunk(memory: Memory, texts: list[str | None]) -> dict:
     """One row of ``CHUNKS``, without its name and ids."""
-    pieces: set[str] = set()
-    for t in texts:
-        if t:
-            pieces.update(memory.tok.pieces(t))
-    if memory.size > MEMORY:
-        memory.clear()
-    memory.learn(pieces)
-    counts, shas, links = [], [], []
-    for t in texts:
-        got = memory.whole(t) if t else []
-        shas.append(hashlib.sha256(";".join([memory.texts[g] for g in got]).encode()).hexdigest() if got else "")
-        times = Counter(got)
-        counts.append([sum(memory.counts[g][k] * n for g, n in times.items()) for k in range(4)])
-        if got:
-            codes = np.concatenate([memory.links[g][0] for g in times])
-            found, at = np.unique(codes, return_inverse=True)
-            n = np.bincount(at, np.concatenate([memory.links[g][1] * n for g, n in times.items()]))
-            links.append((found, n.astype(np.int64)))
-        else:
-            links.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    codes, at, holds = np.unique(np.concatenate([x for x, _ in links]), return_inverse=True, return_counts=True)
+    pieces, sizes = memory.numbers(texts)
+    n, doc = len(texts), np.repeat(np.arange(len(texts)), sizes)
+    lost = np.bincount(doc, memory.table[pieces, 4] == 0, minlength=n) > 0  # bytes of the text do not come back
+    at = np.cumsum(sizes) - sizes
+    shas = [
+        hashlib.sha256(";".join(map(memory.texts.__getitem__, pieces[x : x + k].tolist())).encode()).hexdigest() if k and not out else ""
+        for x, k, out in zip(at.tolist(), sizes.tolist(), lost.tolist())
+    ]
+    keep = ~lost[doc]
+    doc, pieces = doc[keep], pieces[keep]
+    counts = [np.bincount(doc, memory.table[pieces, k], minlength=n).astype(np.int64) for k in range(4)]
+    # different pieces of each document, then its different pairs
+    wide = max(1, len(memory.texts))
+    seen, often = np.unique(doc * wide + pieces, return_counts=True)
+    doc, pieces = seen // wide, seen % wide
+    begin, held = memory.table[pieces, 5], memory.table[pieces, 6]
+    links = spread(begin, held)
+    codes, pair = np.unique(memory.codes[links], return_inverse=True)
+    key, back = np.unique(np.repeat(doc, held) * max(1, len(codes)) + pair, return_inverse=True)
+    times = np.bincount(back, memory.times[links] * np.repeat(often, held)).astype(np.int64)
+    doc, pair = key // max(1, len(codes)), key % max(1, len(codes))
+    holds = np.bincount(pair, minlength=len(codes))
     # places rise within a document: their differences are small numbers
-    sizes = np.array([len(x) for x, _ in links], np.int64)
-    first = np.zeros(len(at), bool)
-    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-    steps = np.where(first, at, at - np.concatenate([[0], at[:-1]]) if len(at) else at)
-    packed = zlib.compress(b"".join(x.astype("<i4").tobytes() for x in (sizes, steps, np.concatenate([n for _, n in links]))), 1)
-    out = {k: [[c[i] for c in counts]] for i, k in enumerate(COUNTS)}
-    return out | {"codes": [codes], "holds": [holds], "groups_sha256": [shas], "places": [packed]}
+    steps = np.diff(pair, prepend=0)
+    first = np.diff(doc, prepend=-1) != 0
+    steps[first] = pair[first]
+    per_doc = np.bincount(doc, minlength=n)
+    packed = zlib.compress(b"".join(x.astype("<i4").tobytes() for x in (per_doc, steps, times)), 1)
+    return {k: [c] for k, c in zip(COUNTS, counts)} | {"codes": [codes], "holds": [holds], "groups_sha256": [shas], "places": [packed]}
 
 
 def summed(packed: bytes, n: int, seen: np.ndarray, best: np.ndarray) -> tuple[list[int], list[int]]:
@@ -251,16 +316,14 @@ def groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             for doc_id, text in zip(cols["doc_id"], cols["text"]):
                 at, rows = 0, []
                 pieces = tok.pieces(text) if text else []
-                for p, (a, b) in zip(pieces, tok.ids(pieces)):
-                    a_ends, b_ends = ends(a, tok.a_bytes), ends(b, tok.b_bytes)
-                    if not b"".join(tok.a_bytes[i] for i in a) == p.encode() == b"".join(tok.b_bytes[i] for i in b):
-                        rows = []
-                        break
-                    start = at
-                    for x, y in components(a_ends, b_ends):
-                        rows.append((doc_id, start, at + a_ends[x[-1]], [a[k] for k in x], [b[k] for k in y]))
-                        start = at + a_ends[x[-1]]
-                    at += a_ends[-1]
+                ids = list(tok.ids(pieces))
+                if all(tok.give_back([p.encode() for p in pieces], ids)) and pieces:
+                    a, b = (np.fromiter(chain.from_iterable(x[k] for x in ids), np.int64) for k in (0, 1))
+                    last = np.cumsum(tok.a_sizes[a])
+                    ga, gb = components(last, np.cumsum(tok.b_sizes[b]))
+                    for x, y in zip(np.split(np.arange(len(a)), np.flatnonzero(np.diff(ga)) + 1), np.split(b, np.flatnonzero(np.diff(gb)) + 1)):
+                        rows.append((doc_id, at, int(last[x[-1]]), a[x].tolist(), y.tolist()))
+                        at = int(last[x[-1]])
                 for row in rows:
                     for k, v in zip(out, row):
                         out[k].append(v)
