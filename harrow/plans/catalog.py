@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import clamp_column, words_column
 from ..functions import decoders, emails, html, scoring, urls
-from ..operators import cache, frontier, joins, pacing, ranking, sitemaps, stats
+from ..operators import cache, frontier, joins, pacing, ranking, similarity, sitemaps, stats, suffixes
 from ..runtime import ship
 from . import discovery
 
@@ -212,15 +212,66 @@ def domain_score(s, d):
 
 def domain_best(s, d):
     _, results = _leads(s, d)
-    scored = results.where("input_pos % 7 != 0").withColumn("score", scoring.score_domain(F.col("company"), F.col("link")))
+    scored = results.withColumn("score", scoring.score_domain(F.col("company"), F.col("link")))
     return ranking.best_by(scored, "input_pos", "score", "rank", "link")
 
 
 def domain_score_fuzzy(s, d):
-    """General similarity of supplier names and hosts: compared with brute force in the tests, not in SQL."""
-    hosts = read(s, d, "pages").select(urls.normalise_domain(F.col("url")).alias("host")).distinct()
-    rows = read(s, d, "supplier").crossJoin(hosts)
-    return rows.select("s_suppkey", "host", F.round(scoring.score_domain(F.col("s_name"), F.concat(F.lit("https://"), "host")), 6).alias("score"))
+    """Suppliers and hosts that are similar to 40 and more: through the index of q-grams, not by all pairs."""
+    hosts = read(s, d, "pages").select(urls.normalise_domain(F.col("url")).alias("host"))
+    found = similarity.scored_pairs(read(s, d, "supplier").select(F.col("s_name").alias("company")), hosts, 40)
+    rows = read(s, d, "supplier").join(found, F.col("s_name") == F.col("company"))
+    return rows.select("s_suppkey", "host", F.round("score", 6).alias("score"))
+
+
+def _named(s, d):
+    """Companies called by digests of the suppliers' names, so that they differ."""
+    return read(s, d, "supplier").select("s_suppkey", F.concat(F.substring(F.md5("s_name"), 1, 14), F.lit(" GmbH")).alias("company"))
+
+
+def domain_score_join(s, d):
+    """Companies and similar hosts, out of the hosts of pages and of hosts that lack, repeat or turn letters of names."""
+    named = _named(s, d).withColumn("b", F.substring("company", 1, 14))
+    made = F.array(
+        F.concat(F.lit("www."), F.substring("b", 1, 5), F.substring("b", 7, 8), F.lit(".com")), F.concat("b", F.lit("-"), F.substring("b", 1, 3), F.lit(".co.uk")),
+        F.concat(F.reverse("b"), F.lit(".net")), F.concat(F.substring("b", 1, 12), F.lit(".linkedin.com")), F.concat(F.substring("b", 3, 4), F.lit(".de")),
+    )
+    hosts = named.select(F.explode(made).alias("host")).unionByName(read(s, d, "pages").select(urls.normalise_domain(F.col("url")).alias("host")))
+    return similarity.scored_pairs(named, hosts, 70).select("company", "host", F.round("score", 6).alias("score"))
+
+
+def _hits(s, d):
+    """Five hits for each part by name and brand: letters missing, a portal, letters turned, a beginning, the same again."""
+    p = read(s, d, "part").select("p_partkey", F.concat("p_name", F.lit(" "), "p_brand", F.lit(" Ltd.")).alias("company"))
+    base = F.regexp_replace(F.lower("company"), " ltd[.]$|[^a-z0-9]", "")
+    short = F.substring(base, F.lit(1), 4 + F.col("p_partkey") % 9)
+    links = F.array(
+        F.concat(F.lit("https://www."), F.regexp_replace(base, "[aeiou]", ""), F.lit(".com/")), F.concat(F.lit("https://"), base, F.lit(".linkedin.com/in")),
+        F.concat(F.lit("http://"), F.reverse(base), F.lit(".example.co.uk/x")), F.concat(F.lit("https://shop."), short, F.lit("x.de/")), F.concat(F.lit("https://b."), short, F.lit("x.fr/")),
+    )
+    return p.select("p_partkey", "company", F.posexplode(links).alias("rank", "link"))
+
+
+def domain_score_names(s, d):
+    return _hits(s, d).select("p_partkey", "rank", F.round(scoring.score_domain(F.col("company"), F.col("link")), 6).alias("score"))
+
+
+def domain_best_names(s, d):
+    """The best hit of each part; hits of equal score go by rank."""
+    scored = _hits(s, d).withColumn("score", F.round(scoring.score_domain(F.col("company"), F.col("link")), 6))
+    return ranking.best_by(scored, "p_partkey", "score", "rank", "link")
+
+
+#: Rules of the kinds that a registry's list has.
+SUFFIX_RULES = ["com", "org", "net", "de", "uk", "co.uk", "us", "ca.us", "k12.ca.us", "io", "github.io", "*.ck", "!www.ck", "jp", "*.kawasaki.jp", "!city.kawasaki.jp"]
+
+
+def domain_split_rules(s, d):
+    """Hosts of pages under endings of every kind, split by a table of rules."""
+    ends = ["", ".co.uk", ".k12.ca.us", ".ca.us", ".github.io", ".shop.ck", ".www.ck", ".ck", ".town.kawasaki.jp", ".city.kawasaki.jp", ".unlisted"]
+    host = urls.normalise_domain(F.col("url"))
+    rows = read(s, d, "pages").select("page_id", F.posexplode(F.transform(F.array(*map(F.lit, ends)), lambda e: F.concat(host, e))).alias("n", "host"))
+    return suffixes.split_hosts(rows, "host", s.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string"))
 
 
 def resolve_first_wins(s, d):
@@ -313,7 +364,7 @@ def cache_prune(s, d):
 
 def cache_ttl_lookup(s, d):
     log = _cache_log(s, d)
-    asks = read(s, d, "events").where("event_id % 10 = 3").select(F.col("event_id"), F.concat(F.lit("k"), ((F.col("user_id") + 1) % 100).cast("string")).alias("key"), seconds().alias("at"))
+    asks = read(s, d, "events").select(F.col("event_id"), F.concat(F.lit("k"), ((F.col("user_id") + 1) % 100).cast("string")).alias("key"), seconds().alias("at"))
     return cache.lookup(asks, log, ttl=86400.0).select("event_id", "key", "value")
 
 
@@ -505,6 +556,7 @@ QUERIES = [
     extract_cascade, url_normalise_domain, url_canonicalise, url_canonicalise_query, url_validate, url_dedupe_first,
     url_domain_counts, url_domain_topk, url_blocked_filter, url_priority_filter, url_candidates, url_fetch_first,
     links_extract, links_resolve_same_site, company_clean, domain_split, domain_score, domain_best, domain_score_fuzzy,
+    domain_score_join, domain_score_names, domain_best_names, domain_split_rules,
     resolve_first_wins, result_rows, run_summary, crawl_bfs, crawl_bfs_limited, sitemap_locs, sitemap_priority,
     cache_latest, cache_prune, cache_ttl_lookup, rate_min_interval, token_bucket_wait, backoff_schedule,
     status_histogram, request_totals, worker_stats, progress_running, progress_stats, batch_numbers, request_gaps,

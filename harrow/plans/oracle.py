@@ -3,7 +3,33 @@
 from __future__ import annotations
 
 from ..functions.emails import BLACKLIST, FILE_EXTENSIONS, GENERIC_TLDS, ROLES
-from ..functions.scoring import COMPANY_SUFFIXES, SECOND_LEVEL
+from ..functions.scoring import COMPANY_SUFFIXES, PENALTY_DOMAINS, SECOND_LEVEL
+from .catalog import SUFFIX_RULES
+
+
+def scores(pairs: str, threshold: float = 0) -> str:
+    """Common table expressions down to scored(company, host, score) of pairs(company, host): every stretch is compared.
+
+    The similarity of two strings is that of the shorter one to its best stretch of the other, by the length of the
+    longest common subsequence, a bit for each character.
+    """
+    base = f"regexp_replace(regexp_replace(lower(company), '({'|'.join(x.replace('.', '[.]') for x in COMPANY_SUFFIXES)})$', ''), '[^a-z0-9]', '', 'g')"
+    portals = " OR ".join(f"contains(host, '{p}')" for p in PENALTY_DOMAINS)
+    return f"""pairs AS ({pairs}),
+split_up AS (SELECT *, {base} AS base, string_split(host, '.') AS l FROM (SELECT DISTINCT company, host FROM pairs)),
+parted AS (SELECT *, {SPLIT} AS k FROM split_up),
+parts AS (SELECT company, host, base, unnest([l[len(l) - k], coalesce(list_aggregate(l[1:len(l) - k - 1], 'string_agg', '.'), '')]) AS part FROM parted),
+short_long AS (SELECT DISTINCT base, part, CASE WHEN length(base) > length(part) THEN part ELSE base END AS s, CASE WHEN length(base) > length(part) THEN base ELSE part END AS t FROM parts),
+ways AS (SELECT base, part, s, t FROM short_long WHERE s <> '' UNION ALL SELECT base, part, t, s FROM short_long WHERE s <> '' AND length(s) = length(t)),
+stretches AS (SELECT *, length(s) AS m, unnest(range(1 - length(s), length(t))) AS lo FROM ways),
+cuts AS (SELECT base, part, s, m, t[greatest(lo, 0) + 1:least(lo + m, length(t))] AS w FROM stretches),
+commons AS (SELECT base, part, m, length(w) AS n, m - bit_count(list_reduce(list_prepend((1::BIGINT << m) - 1,
+    list_transform(string_split(w, ''), lambda c: list_sum(list_transform(range(1, m + 1), lambda i: CASE WHEN s[i] = c THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT)),
+    lambda r, x: ((r + (r & x)) | (r - (r & x))) & ((1::BIGINT << m) - 1))) AS c FROM cuts),
+alike AS (SELECT base, part, max(200.0::DOUBLE * c / (m + n)) AS v FROM commons GROUP BY 1, 2),
+scored AS (SELECT company, host, CASE WHEN length(any_value(base)) < 3 THEN 50.0::DOUBLE
+    ELSE greatest(0.0::DOUBLE, max(coalesce(v, 0.0)) - CASE WHEN {portals} THEN 25 ELSE 0 END) END AS score
+  FROM parts LEFT JOIN alike USING (base, part) GROUP BY company, host HAVING score >= {threshold})"""
 
 
 def quoted(items) -> str:
@@ -63,7 +89,30 @@ STATUS = "r AS (SELECT event_id, CASE WHEN floor(abs(value))::BIGINT % 600 >= 10
 PROXIES = f"""p AS (SELECT user_id AS pos, count(*) FILTER (event_type = 'click') AS s, count(*) FILTER (event_type <> 'click') AS f,
   coalesce(max(floor({SECONDS})) FILTER (event_type <> 'click') + 300, 0) AS banned FROM events GROUP BY user_id)"""
 
+NAMED = """named AS (SELECT s_suppkey, substr(md5(s_name), 1, 14) || ' GmbH' AS company, substr(md5(s_name), 1, 14) AS b FROM supplier)"""
+MADE = f"""made AS (SELECT unnest(['www.' || b[1:5] || b[7:14] || '.com', b || '-' || b[1:3] || '.co.uk', reverse(b) || '.net', b[1:12] || '.linkedin.com', b[3:6] || '.de']) AS host FROM named
+  UNION ALL SELECT {DOMAIN} FROM pages),
+hosts AS (SELECT DISTINCT regexp_replace(host, '^www\\.', '') AS host FROM made)"""
+HITS = """p AS (SELECT p_partkey, p_name || ' ' || p_brand || ' Ltd.' AS company, regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]', '', 'g') AS b FROM part),
+q AS (SELECT *, b[1:4 + p_partkey % 9] AS c FROM p),
+hits AS (SELECT p_partkey, company, unnest(range(5))::INTEGER AS rank, unnest([regexp_replace(b, '[aeiou]', '', 'g') || '.com', b || '.linkedin.com', reverse(b) || '.example.co.uk',
+    'shop.' || c || 'x.de', 'b.' || c || 'x.fr']) AS host,
+  unnest(['https://www.' || regexp_replace(b, '[aeiou]', '', 'g') || '.com/', 'https://' || b || '.linkedin.com/in', 'http://' || reverse(b) || '.example.co.uk/x',
+    'https://shop.' || c || 'x.de/', 'https://b.' || c || 'x.fr/']) AS link FROM q)"""
 SQL = {
+    "domain_score_fuzzy": f"""WITH {scores(f"SELECT DISTINCT s_name AS company, host FROM supplier, (SELECT DISTINCT {DOMAIN} AS host FROM pages)", 40)}
+SELECT s_suppkey, host, round(score, 6) AS score FROM scored JOIN supplier ON s_name = company""",
+    "domain_score_join": f"WITH {NAMED}, {MADE}, {scores('SELECT company, host FROM named, hosts', 70)} SELECT company, host, round(score, 6) AS score FROM scored",
+    "domain_score_names": f"""WITH {HITS}, {scores('SELECT company, host FROM hits')}
+SELECT p_partkey, rank, round(score, 6) AS score FROM hits JOIN scored USING (company, host)""",
+    "domain_best_names": f"""WITH {HITS}, {scores('SELECT company, host FROM hits')}
+SELECT p_partkey, round(score, 6) AS score, link FROM hits JOIN scored USING (company, host) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY round(score, 6) DESC, rank) = 1""",
+    "domain_split_rules": f"""WITH r AS (SELECT unnest([{quoted(SUFFIX_RULES)}]) AS rule),
+h AS (SELECT page_id, unnest(range(11))::INTEGER AS n, {DOMAIN} || unnest(['', '.co.uk', '.k12.ca.us', '.ca.us', '.github.io', '.shop.ck', '.www.ck', '.ck', '.town.kawasaki.jp', '.city.kawasaki.jp', '.unlisted']) AS host FROM pages),
+l AS (SELECT *, string_split(host, '.') AS l FROM h),
+k AS (SELECT page_id, n, host, l, coalesce(max(CASE WHEN rule[1] = '!' AND ('.' || host).ends_with('.' || rule[2:]) THEN len(string_split(rule, '.')) - 1 END),
+    max(CASE WHEN rule[1] NOT IN ('!', '*') AND ('.' || host).ends_with('.' || rule) OR rule[1] = '*' AND host.ends_with(rule[2:]) AND len(l) >= len(string_split(rule, '.')) THEN len(string_split(rule, '.')) END), 1) AS k FROM l, r GROUP BY ALL)
+SELECT page_id, n, host, coalesce(list_aggregate(l[1:len(l) - k - 1], 'string_agg', '.'), '') AS subdomain, l[len(l) - k] AS domain, list_aggregate(l[len(l) - k + 1:], 'string_agg', '.') AS suffix FROM k""",
     "emails_from_text": f"WITH {DOC_EMAILS} SELECT doc_id, email FROM mails",
     "emails_validate": f"WITH {DOC_EMAILS}, r AS (SELECT doc_id, t AS raw, lower(t) AS e FROM raw) SELECT doc_id, raw, {VALID} AS valid FROM r",
     "emails_strict": f"""WITH tok AS ({TOKENS.format(id='doc_id', text='text', table='documents')}),
@@ -111,7 +160,7 @@ k AS (SELECT *, {SPLIT} AS k FROM h)
 SELECT page_id, n, coalesce(list_aggregate(l[1:len(l) - k - 1], 'string_agg', '.'), '') AS subdomain, l[len(l) - k] AS domain,
   CASE WHEN k = 0 THEN '' ELSE list_aggregate(l[len(l) - k + 1:], 'string_agg', '.') END AS suffix FROM k""",
     "domain_score": f"WITH {LEADS} SELECT input_pos, CASE WHEN input_pos % 7 = 0 THEN 50.0::DOUBLE ELSE 100.0::DOUBLE END AS score FROM l",
-    "domain_best": f"WITH {LEADS} SELECT input_pos, 100.0::DOUBLE AS score, 'https://www.' || host || '/' AS link FROM l WHERE input_pos % 7 <> 0",
+    "domain_best": f"WITH {LEADS} SELECT input_pos, CASE WHEN input_pos % 7 = 0 THEN 50.0::DOUBLE ELSE 100.0::DOUBLE END AS score, CASE WHEN input_pos % 7 = 0 THEN 'https://www.linkedin.com/company/' || input_pos ELSE 'https://www.' || host || '/' END AS link FROM l",
     "resolve_first_wins": f"""WITH {LEADS}, c AS (SELECT input_pos, host, CASE WHEN input_pos % 7 = 0 THEN 'Q!' ELSE upper(left(label, 1)) || substr(label, 2) || ' GmbH' END AS company FROM l),
 hit AS (SELECT company, arg_min(host, input_pos) AS host FROM c WHERE input_pos % 11 <> 0 GROUP BY company),
 j AS (SELECT c.input_pos, CASE WHEN c.input_pos % 11 = 0 THEN NULL ELSE hit.host END AS host, c.input_pos % 7 = 0 AS short FROM c LEFT JOIN hit USING (company)),
@@ -136,7 +185,7 @@ SELECT 'site' AS domain, page AS page_id, depth FROM walk""",
 SELECT domain, url FROM g QUALIFY row_number() OVER (PARTITION BY domain ORDER BY p) <= 12""",
     "cache_latest": f"WITH {LOG}, {LATEST} SELECT key, value FROM alive",
     "cache_prune": f"WITH {LOG}, {LATEST} SELECT key, value FROM alive WHERE (SELECT max(ts) FROM log) - ts <= 864000 ORDER BY ts DESC, key LIMIT 20",
-    "cache_ttl_lookup": f"""WITH {LOG}, asks AS (SELECT event_id, 'k' || ((user_id + 1) % 100) AS key, {SECONDS} AS asked FROM events WHERE event_id % 10 = 3),
+    "cache_ttl_lookup": f"""WITH {LOG}, asks AS (SELECT event_id, 'k' || ((user_id + 1) % 100) AS key, {SECONDS} AS asked FROM events),
 j AS (SELECT a.event_id, a.key, a.asked, max({{'ts': l.ts, 'has': l.value IS NOT NULL, 'value': l.value}}) AS m FROM asks a LEFT JOIN log l ON a.key = l.key AND l.ts <= a.asked GROUP BY 1, 2, 3)
 SELECT event_id, key, CASE WHEN asked - m.ts <= 86400 THEN m.value END AS value FROM j""",
     "rate_min_interval": f"""WITH {ARRIVE}, s AS (SELECT key, n, t, n * 100.0 + max(t - n * 100.0) OVER (PARTITION BY key ORDER BY n) AS start FROM o)

@@ -51,6 +51,28 @@ def check_input(spark: SparkSession, path: str) -> tuple[bool, str | None]:
     return True, None
 
 
+def suffix_rules(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(rule, private) of a public suffix list: a file in the registry's format, else the list in Spark's HTTP client.
+
+    Rules after the mark of private domains are private.  The list is small by nature (about ten thousand rules).
+    """
+    if path is None:
+        jvm = spark._jvm
+        stream = jvm.java.lang.Thread.currentThread().getContextClassLoader().getResourceAsStream("mozilla/public-suffix-list.txt")
+        if stream is None:
+            raise InputError("no public suffix list on the class path: give the path of one")
+        text = bytes(stream.readAllBytes()).decode()
+    else:
+        text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    rows, private = [], False
+    for line in text.splitlines():
+        private |= "BEGIN PRIVATE DOMAINS" in line
+        rule = line.split("//")[0].strip().split(" ")[0]
+        if rule:
+            rows.append((rule, private))
+    return spark.createDataFrame(rows, "rule string, private boolean")
+
+
 def url_list(spark: SparkSession, path: str) -> DataFrame:
     """One URL a line; blank lines dropped, order kept in ``pos``."""
     rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.trim("value").alias("url"))
