@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordered import ranges, scan
+
 
 def first_per(rows: DataFrame, key: str | Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row for each key, the first in order: a domain's first company, a page's first visit."""
@@ -34,11 +36,16 @@ def distinct_rows(rows: DataFrame) -> DataFrame:
 def running_count(rows: DataFrame, order: Sequence[Column | str], total: int, key: str | None = None, step: Column | None = None) -> DataFrame:
     """``current``: progress after each row, no more than the total; ``percent``.
 
-    Without a key the whole table is one sequence, whose order one task must keep.
+    Without a key the whole table is one sequence: a prefix scan over ranges of the order, not one task.
     """
-    w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    current = F.least(F.sum(step if step is not None else F.lit(1)).over(w), F.lit(total))
-    return rows.withColumn("current", current.cast("long")).withColumn("percent", F.round(100.0 * F.col("current") / total, 6))
+    add = (step if step is not None else F.lit(1)).cast("long")
+    if key:
+        w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        out = rows.withColumn("current", F.sum(add).over(w))
+    else:
+        out = scan(ranges(rows, *order), None, order, add, "sum", "current").select(*[c for c in rows.columns if c != "current"], "current")
+    current = F.least(F.col("current"), F.lit(total).cast("long"))
+    return out.withColumn("current", current).withColumn("percent", F.round(100.0 * F.col("current") / total, 6))
 
 
 def batch_number(rows: DataFrame, key: str, order: Sequence[Column | str], size: int) -> DataFrame:

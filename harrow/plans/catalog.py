@@ -374,6 +374,24 @@ def rate_min_interval(s, d):
     return out.select("key", "n", F.round("wait", 2).alias("wait"))
 
 
+def rate_global_interval(s, d):
+    """The whole log as one sequence, paced by a prefix scan over ranges of time."""
+    out = pacing.min_interval(read(s, d, "events"), None, F.floor(seconds()).cast("double"), rate=0.01)
+    return out.select("n", "arrive", F.round("wait", 2).alias("wait"))
+
+
+def token_bucket_global(s, d):
+    out = pacing.token_bucket(read(s, d, "events"), None, F.floor(seconds()).cast("double"), rate=1 / 256, capacity=40)
+    return out.select("n", "arrive", F.round("wait", 2).alias("wait"))
+
+
+def progress_global(s, d):
+    """Progress over all order lines, weighted by quantity, in order of shipping."""
+    rows = read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", F.col("l_quantity").cast("long").alias("q"))
+    out = ranking.running_count(rows, ["l_shipdate", "l_orderkey", "l_linenumber", "q"], 1_000_000, step=F.col("q"))
+    return out.select("l_orderkey", "l_linenumber", "current", "percent")
+
+
 def token_bucket_wait(s, d):
     e = read(s, d, "events").withColumn("key", F.col("user_id") % 50)
     out = pacing.token_bucket(e, "key", F.floor(seconds()).cast("double"), rate=1 / 8192, capacity=3)
@@ -558,7 +576,7 @@ QUERIES = [
     links_extract, links_resolve_same_site, company_clean, domain_split, domain_score, domain_best, domain_score_fuzzy,
     domain_score_join, domain_score_names, domain_best_names, domain_split_rules,
     resolve_first_wins, result_rows, run_summary, crawl_bfs, crawl_bfs_limited, sitemap_locs, sitemap_priority,
-    cache_latest, cache_prune, cache_ttl_lookup, rate_min_interval, token_bucket_wait, backoff_schedule,
+    cache_latest, cache_prune, cache_ttl_lookup, rate_min_interval, token_bucket_wait, rate_global_interval, token_bucket_global, progress_global, backoff_schedule,
     status_histogram, request_totals, worker_stats, progress_running, progress_stats, batch_numbers, request_gaps,
     proxy_rank, proxy_stats, merge_kth, append_union, stats_flags_sum, drop_duplicates_full, limit_overrides,
     query_cache, time_texts, config_clamps, search_topk, engine_first, url_join, robots_lines, sitemap_candidates,

@@ -190,6 +190,17 @@ j AS (SELECT a.event_id, a.key, a.asked, max({{'ts': l.ts, 'has': l.value IS NOT
 SELECT event_id, key, CASE WHEN asked - m.ts <= 86400 THEN m.value END AS value FROM j""",
     "rate_min_interval": f"""WITH {ARRIVE}, s AS (SELECT key, n, t, n * 100.0 + max(t - n * 100.0) OVER (PARTITION BY key ORDER BY n) AS start FROM o)
 SELECT key, n::INTEGER AS n, round(start - t, 2) AS wait FROM s""",
+    "rate_global_interval": f"""WITH o AS (SELECT floor({SECONDS}) AS t, row_number() OVER (ORDER BY floor({SECONDS})) - 1 AS n FROM events)
+SELECT n, t AS arrive, round(n * 100.0 + max(t - n * 100.0) OVER (ORDER BY n) - t, 2) AS wait FROM o""",
+    "token_bucket_global": f"""WITH RECURSIVE o AS (SELECT floor({SECONDS}) AS t, row_number() OVER (ORDER BY floor({SECONDS})) - 1 AS n FROM events), b AS (
+  SELECT n, t, t AS now, 40.0::DOUBLE AS have FROM o WHERE n = 0
+  UNION ALL SELECT o.n, o.t, greatest(o.t, b.now + CASE WHEN b.have >= 1 THEN 0 ELSE (1 - b.have) * 256 END),
+    least(40.0, CASE WHEN b.have >= 1 THEN b.have - 1 ELSE 0 END + (greatest(o.t, b.now + CASE WHEN b.have >= 1 THEN 0 ELSE (1 - b.have) * 256 END)
+      - (b.now + CASE WHEN b.have >= 1 THEN 0 ELSE (1 - b.have) * 256 END)) / 256)
+  FROM b JOIN o ON o.n = b.n + 1)
+SELECT n, t AS arrive, round(now + CASE WHEN have >= 1 THEN 0 ELSE (1 - have) * 256 END - t, 2) AS wait FROM b""",
+    "progress_global": """WITH r AS (SELECT l_orderkey, l_linenumber, least(CAST(sum(CAST(l_quantity AS BIGINT)) OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) ROWS UNBOUNDED PRECEDING) AS BIGINT), 1000000) AS current FROM lineitem)
+SELECT l_orderkey, l_linenumber, current, round(100.0::DOUBLE * current / 1000000, 6) AS percent FROM r""",
     "token_bucket_wait": f"""WITH RECURSIVE {ARRIVE}, b AS (
   SELECT key, n, t, t AS now, 3.0::DOUBLE AS have FROM o WHERE n = 0
   UNION ALL SELECT o.key, o.n, o.t, greatest(o.t, b.now + CASE WHEN b.have >= 1 THEN 0 ELSE (1 - b.have) * 8192 END),
