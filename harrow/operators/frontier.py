@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..runtime import cut
+from .seen import SeenSet
 
 
 def crawl(seeds: DataFrame, links: DataFrame, *, limit: int | None = None, limits: DataFrame | None = None, max_depth: int | None = None, ok: DataFrame | None = None, count_failed: bool = False, most_levels: int = 100_000) -> DataFrame:
@@ -17,11 +18,14 @@ def crawl(seeds: DataFrame, links: DataFrame, *, limit: int | None = None, limit
     ``count_failed`` counts pages before they are fetched, so that failures use up the limit as well.
     Without ``max_depth`` the crawl goes on until a level is empty; beyond ``most_levels`` it fails, it never stops short.
     Order within a level is that of the parent and of the link in it.  Each level is checkpointed, so plans stay
-    short; a level costs one join with the links and one anti join with what was seen.
+    short; a level costs one join with the links and one anti join with what was seen.  What was seen is not written again:
+    it consists of the levels themselves (``SeenSet``).
     """
     rank = Window.partitionBy("domain").orderBy("url")
     level = seeds.distinct().withColumn("ord", F.row_number().over(rank).cast("long"))
-    seen = cut(level.select("domain", "url"))
+    level = cut(level)
+    seen = SeenSet("domain", "url")
+    seen.add(level, level.count())
     fetched = None
     counts = seeds.select("domain").distinct().withColumn("n", F.lit(0).cast("long"))
     if limits is not None:
@@ -44,12 +48,13 @@ def crawl(seeds: DataFrame, links: DataFrame, *, limit: int | None = None, limit
             fetched = cut(fetched)  # a union of many levels is too deep a plan
         targets = got.join(links, got["url"] == links["src"]).select("domain", F.col("dst").alias("url"), "ord", "link_pos")
         first = targets.groupBy("domain", "url").agg(F.min(F.struct("ord", "link_pos")).alias("at"))
-        fresh = first.join(seen, ["domain", "url"], "left_anti")
+        fresh = seen.unseen(first)
         order = Window.partitionBy("domain").orderBy("at", "url")
         level = cut(fresh.select("domain", "url", F.row_number().over(order).cast("long").alias("ord")))
-        if level.isEmpty():
+        n = level.count()
+        if not n:
             break
-        seen = cut(seen.unionByName(level.select("domain", "url")))
+        seen.add(level, n)
     else:
         raise RuntimeError(f"the crawl did not end within {most_levels} levels")
     return fetched.select("domain", "url", "depth", "visit")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..config import SITEMAP_NAMES, PRIORITY_PARTS, words
 from ..functions import urls
+from ..runtime import cut
 from . import ranking
+from .seen import SeenSet
 
 MOST_BYTES = 50 * 1024 * 1024
 LOC = r"(?is)<(?:[A-Za-z0-9_-]+:)?loc\b[^>]*>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</(?:[A-Za-z0-9_-]+:)?loc\s*>"
@@ -44,6 +47,12 @@ def gunzip():
     return run
 
 
+def unpacked(bodies: DataFrame) -> DataFrame:
+    """(url, body), gzip bodies unpacked; only these go through the Python step."""
+    packed = F.coalesce(F.substring("body", 1, 2) == F.lit(b"\x1f\x8b"), F.lit(False))
+    return bodies.where(~packed).select("url", "body").unionByName(bodies.where(packed).select("url", gunzip()("body").alias("body")))
+
+
 def as_text(body: Column) -> Column:
     return F.make_valid_utf8(body.cast("string"))
 
@@ -89,26 +98,51 @@ def candidates(domains: DataFrame, names: Sequence[str] = SITEMAP_NAMES) -> Data
 
 def discover(domains: DataFrame, bodies: DataFrame, robots: DataFrame, names: Sequence[str] = SITEMAP_NAMES, *, every: bool = False) -> DataFrame:
     """(domain, url): the first candidate that is a sitemap (all of them: ``every``), else those of robots.txt."""
-    good = bodies.where(within_size(F.col("body")) & looks_like_xml(F.col("body")))
+    good = unpacked(bodies).where(within_size(F.col("body")) & looks_like_xml(F.col("body"))).select("url")
     hits = candidates(domains, names).join(good.select("url"), "url", "left_semi")
     hits = hits if every else ranking.first_per(hits, "domain", ["pos"])
     named = robots_sitemaps(robots).join(hits, "domain", "left_anti").join(good.select("url"), "url", "left_semi")
     return hits.select("domain", "url").unionByName(named.select("domain", "url")).distinct()
 
 
-def pages_of(found: DataFrame, bodies: DataFrame, *, most: int = 10_000, max_depth: int = 5) -> DataFrame:
-    """(domain, sitemap_url, pos, url): pages listed, indexes followed level by level; the first ``most`` of a sitemap."""
-    docs = bodies.where(within_size(F.col("body")) & looks_like_xml(F.col("body"))).select("url", as_text(F.col("body")).alias("text"))
-    level, out = found.select("domain", F.col("url").alias("sitemap_url")), None
-    for _ in range(max_depth):
-        own = level.join(docs, level["sitemap_url"] == docs["url"]).select("domain", "sitemap_url", "text")
-        each = own.select("domain", "sitemap_url", is_index(F.col("text")).alias("index"), F.posexplode(F.slice(locations(F.col("text")), 1, most)).alias("pos", "url"))
-        pages = each.where("not index").drop("index")
-        out = pages if out is None else out.unionByName(pages)
-        level = each.where("index").select("domain", F.col("url").alias("sitemap_url")).distinct()
-        if level.isEmpty():
-            break
-    return out
+def listings(bodies: DataFrame, most: int | None = 10_000) -> DataFrame:
+    """(url, index, locs) of the bodies that are sitemaps, gzip unpacked; the first ``most`` locations of each, or all."""
+    docs = unpacked(bodies).where(within_size(F.col("body")) & looks_like_xml(F.col("body"))).select("url", as_text(F.col("body")).alias("text"))
+    locs = locations(F.col("text"))
+    return docs.select("url", is_index(F.col("text")).alias("index"), (locs if most is None else F.slice(locs, 1, most)).alias("locs"))
+
+
+def reached(found: DataFrame, indexes: DataFrame, most_levels: int = 10_000) -> DataFrame:
+    """(domain, sitemap_url): sitemaps reached from those found through index files (url, locs), each once for a domain.
+
+    Level by level until nothing is new, whatever the depth; circles of indexes end by themselves.  Beyond
+    ``most_levels`` it fails, it never stops short.
+    """
+    edges = indexes.select(F.col("url").alias("sitemap_url"), F.explode(F.array_distinct("locs")).alias("child"))
+    level = cut(found.select("domain", F.col("url").alias("sitemap_url")).distinct())
+    seen, levels, n = SeenSet("domain", "sitemap_url"), [], level.count()
+    while n:
+        if len(levels) >= most_levels:
+            raise RuntimeError(f"sitemaps are nested deeper than {most_levels} levels")
+        levels.append(level)
+        seen.add(level, n)
+        below = level.join(edges, "sitemap_url").select("domain", F.col("child").alias("sitemap_url")).distinct()
+        level = cut(seen.unseen(below))
+        n = level.count()
+    return reduce(DataFrame.unionByName, [part for _, part, _ in seen.parts]) if levels else level
+
+
+def pages_of(found: DataFrame, bodies: DataFrame, *, most: int | None = 10_000, index_locs: bool = False, most_levels: int = 10_000) -> DataFrame:
+    """(domain, sitemap_url, pos, url): pages listed in sitemaps and in those their indexes name, to any depth.
+
+    ``most``: the first locations of a sitemap that count, None for all.  ``index_locs``: entries of indexes are pages too,
+    as the older form has it.  Bodies are parsed once; levels join only the entries of indexes.
+    """
+    known = cut(listings(bodies, most))
+    every = reached(found, known.where("index"), most_levels).join(known, F.col("sitemap_url") == F.col("url"))
+    every = every if index_locs else every.where("not index")
+    pages = every.select("domain", "sitemap_url", F.posexplode("locs").alias("pos", "url"))
+    return pages.where(urls.validate_url(F.col("url"))) if index_locs else pages
 
 
 def priority_pages(pages: DataFrame, parts: Sequence[str] = words(PRIORITY_PARTS), limit: int = 12) -> DataFrame:

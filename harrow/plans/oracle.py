@@ -183,6 +183,10 @@ SELECT 'site' AS domain, page AS page_id, depth FROM walk""",
     "sitemap_locs": f"WITH {LISTED} SELECT domain, (row_number() OVER (PARTITION BY domain ORDER BY page_id) - 1)::INTEGER AS pos, url FROM l",
     "sitemap_priority": f"""WITH {LISTED}, g AS (SELECT domain, url, min(page_id) AS p FROM l WHERE contains(lower(url), '/en/') OR contains(lower(url), '/de/') GROUP BY 1, 2)
 SELECT domain, url FROM g QUALIFY row_number() OVER (PARTITION BY domain ORDER BY p) <= 12""",
+    "sitemap_nested": f"""WITH RECURSIVE {LISTED}, k AS (SELECT domain, url, row_number() OVER (PARTITION BY domain ORDER BY page_id) - 1 AS k, count(*) OVER (PARTITION BY domain) AS c FROM l),
+m AS (SELECT domain, max((c + 2) // 3) AS n FROM k GROUP BY domain),
+r AS (SELECT domain, 0::BIGINT AS i FROM m UNION SELECT r.domain, (r.i + 1) % m.n FROM r JOIN m ON r.domain = m.domain)
+SELECT k.domain, 'https://' || k.domain || '/u' || k || '.xml' AS sitemap_url, url FROM k JOIN r ON r.domain = k.domain AND r.i = k.k // 3""",
     "cache_latest": f"WITH {LOG}, {LATEST} SELECT key, value FROM alive",
     "cache_prune": f"WITH {LOG}, {LATEST} SELECT key, value FROM alive WHERE (SELECT max(ts) FROM log) - ts <= 864000 ORDER BY ts DESC, key LIMIT 20",
     "cache_ttl_lookup": f"""WITH {LOG}, asks AS (SELECT event_id, 'k' || ((user_id + 1) % 100) AS key, {SECONDS} AS asked FROM events),
