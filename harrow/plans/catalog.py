@@ -583,6 +583,80 @@ def debug_names(s, d):
     return read(s, d, "pages").select("page_id", urls.debug_filename(F.col("url")).alias("name"))
 
 
+# Rules and reports that have no place in the queries above
+
+
+def responses_plain(s, d):
+    """Addresses of responses that are no HTML: read as plain text, unless they failed or are PDF files."""
+    i = F.col("doc_id")
+    url = F.concat(F.lit("https://site.de/"), i.cast("string"), F.when(i % 7 == 0, ".PDF").otherwise(".txt"))
+    kind = F.when(i % 3 == 0, "text/plain").when(i % 3 == 1, "application/json")
+    rows = read(s, d, "documents").select(url.alias("url"), F.when(i % 5 == 0, 404).otherwise(200 + i % 100).cast("int").alias("status"), kind.alias("content_type"), "text", F.lit(None).cast("string").alias("rendered_html"))
+    return discovery.page_addresses(rows)
+
+
+def links_rules(s, d):
+    """Links by the older filter and by the rule for mail links, over hrefs of every kind made from those of pages."""
+    host = urls.normalise_domain(F.col("url"))
+    rows = read(s, d, "pages").select("page_id", host.alias("domain"), F.posexplode(html.hrefs(F.col("html"))).alias("link_pos", "href"))
+    kind = F.col("link_pos") % 4
+    href = F.when(kind == 0, F.col("href")).when(kind == 1, F.concat(F.lit(" MAILTO:x@"), "domain")).when(kind == 2, F.concat(F.lit("https://"), "domain", "href")).otherwise("https://else.org")
+    rows = rows.withColumn("href", href)
+    return rows.select("page_id", "link_pos", "href", urls.is_mailto(F.col("href")).alias("mail"), urls.naive_same_site(F.col("href"), F.col("domain")).alias("same"))
+
+
+def url_rules(s, d):
+    """The older rule for URLs, exactly blocked hosts, and search addresses."""
+    odd = F.when(F.col("page_id") % 4 == 1, F.concat("url", F.lit("#javascript:x"))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("ftp"), "url")).otherwise(F.col("url"))
+    rows = read(s, d, "pages").select("page_id", odd.alias("u"))
+    return rows.select(
+        "page_id", urls.validate_url_strict(F.col("u")).alias("valid"), urls.domain_blocked(F.col("u"), ["therin.example.net", "thther.example.org"]).alias("blocked"),
+        urls.search_url("https://find.example/?q={}&n=10", F.concat(F.lit("Firm  "), F.col("page_id").cast("string"))).alias("search"),
+    )
+
+
+def names_relevant(s, d):
+    return _hits(s, d).select("p_partkey", "rank", scoring.is_relevant(F.col("company"), F.col("link"), 70).alias("relevant"))
+
+
+def head_checks(s, d):
+    kind = F.when(F.col("event_id") % 4 == 0, "Text/XML").when(F.col("event_id") % 4 == 1, "image/png").when(F.col("event_id") % 4 == 2, "application/x-gzip")
+    rows = read(s, d, "events").select("event_id", kind.alias("kind"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") * 9000).alias("n"))
+    return rows.select("event_id", sitemaps.head_allows(F.col("kind"), F.col("n")).alias("allowed"))
+
+
+def progress_total(s, d):
+    rows = read(s, d, "orders").groupBy("o_orderstatus").agg(F.count_if(F.col("o_orderkey") % 3 == 0).alias("current"), F.count("*").alias("total"))
+    return stats.total_progress(rows).withColumn("percent", F.round("percent", 6))
+
+
+def row_delta(s, d):
+    orders = read(s, d, "orders")
+    return stats.row_delta(orders, joins.append_rows(orders, orders.where("o_orderstatus = 'F'")))
+
+
+def proxy_checks(s, d):
+    """Outcome of checks of proxies: one row, from their events."""
+    checks = read(s, d, "events").select(F.concat(F.lit("proxy-"), F.col("user_id").cast("string")).alias("url"), (F.col("event_type") == "click").alias("ok"), F.abs("value").alias("ms"))
+    return stats.check_outcome(stats.check_report(checks))
+
+
+def proxy_best(s, d):
+    return stats.best_proxy(_proxies(s, d), F.lit(86400.0 * 366)).select("url", "pos")
+
+
+def cache_names(s, d):
+    """Names of files for the keys of the log, and the number of live entries."""
+    live = cache.latest(_cache_log(s, d))
+    return live.select("key", cache.binary_name(F.col("key")).alias("name")).join(cache.size(live).withColumnRenamed("n", "entries"))
+
+
+def since_last(s, d):
+    """Seconds since a user's last event; of events at one time all but one have none."""
+    out = ranking.since_last(read(s, d, "events").select("user_id", "ts"), "user_id", "ts")
+    return out.select("user_id", F.round("gap", 3).alias("gap"))
+
+
 QUERIES = [
     emails_from_text, emails_validate, emails_strict, emails_from_pages, emails_per_url_joined, emails_distinct_count,
     emails_blacklist_anti, emails_masked, deobf_at_dot, deobf_cfemail, deobf_charcode, deobf_base64, deobf_rot13,
@@ -595,7 +669,8 @@ QUERIES = [
     status_histogram, request_totals, worker_stats, progress_running, progress_stats, batch_numbers, request_gaps,
     proxy_rank, proxy_stats, merge_kth, append_union, stats_flags_sum, drop_duplicates_full, limit_overrides,
     query_cache, time_texts, config_clamps, search_topk, engine_first, url_join, robots_lines, sitemap_candidates,
-    xml_sniff, frontier_new_links, proxy_bans, task_batches, debug_names,
+    xml_sniff, frontier_new_links, proxy_bans, task_batches, debug_names, responses_plain, links_rules, url_rules,
+    names_relevant, head_checks, progress_total, row_delta, proxy_checks, proxy_best, cache_names, since_last,
 ]
 
 

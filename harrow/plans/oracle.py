@@ -255,4 +255,21 @@ t AS (SELECT DISTINCT root || replace(unnest(l), '&amp;', '&') AS dst FROM h) SE
     "task_batches": """WITH t AS (SELECT event_id % 7 AS g, (row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id) - 1) // 100 AS batch, floor(abs(value))::BIGINT % 5 <> 0 AS ok FROM events)
 SELECT g, batch, count(*) AS n FROM t WHERE NOT ok GROUP BY 1, 2""",
     "debug_names": f"""SELECT page_id, regexp_replace({NETLOC} || '_' || CASE WHEN regexp_replace({PATH}, '^/+|/+$', '', 'g') = '' THEN 'index' ELSE regexp_replace({PATH}, '^/+|/+$', '', 'g') END, '[^A-Za-z0-9._-]', '_', 'g') || '.html' AS name FROM pages""",
+    "responses_plain": f"""WITH {DOC_EMAILS} SELECT DISTINCT 'https://site.de/' || doc_id || '.txt' AS url, email FROM mails
+  WHERE doc_id % 3 < 3 AND doc_id % 7 <> 0 AND doc_id % 5 <> 0""",
+    "links_rules": f"""WITH h AS (SELECT page_id, {DOMAIN} AS domain, regexp_extract_all(html, '<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]*)"', 1, 'is') AS l FROM pages),
+e AS (SELECT page_id, domain, (unnest(range(1, len(l) + 1)) - 1)::INTEGER AS link_pos, replace(unnest(l), '&amp;', '&') AS raw FROM h),
+r AS (SELECT page_id, domain, link_pos, CASE link_pos % 4 WHEN 0 THEN raw WHEN 1 THEN ' MAILTO:x@' || domain WHEN 2 THEN 'https://' || domain || raw ELSE 'https://else.org' END AS href FROM e)
+SELECT page_id, link_pos, href, lower(trim(href)).starts_with('mailto:') AS mail, href.starts_with('/') OR contains(href, domain) AS same FROM r""",
+    "url_rules": f"""SELECT page_id, page_id % 4 NOT IN (1, 2) AS valid, {DOMAIN} IN ('therin.example.net', 'thther.example.org') AS blocked,
+  'https://find.example/?q=Firm++' || page_id || '&n=10' AS search FROM pages""",
+    "names_relevant": f"""WITH {HITS}, {scores('SELECT company, host FROM hits')} SELECT p_partkey, rank, score >= 70 AS relevant FROM hits JOIN scored USING (company, host)""",
+    "head_checks": "SELECT event_id, event_id % 4 IN (0, 2) AND (event_id % 3 = 0 OR event_id * 9000 <= 52428800) AS allowed FROM events",
+    "progress_total": """WITH g AS (SELECT o_orderstatus, count(*) FILTER (o_orderkey % 3 = 0) AS c, count(*) AS t FROM orders GROUP BY 1)
+SELECT sum(t)::BIGINT AS total, sum(c)::BIGINT AS current, round(100.0::DOUBLE * sum(c) / sum(t), 6) AS percent, bool_and(c >= t) AS completed FROM g""",
+    "row_delta": "SELECT count(*) AS n_before, count(*) + count(*) FILTER (o_orderstatus = 'F') AS n_after, count(*) FILTER (o_orderstatus = 'F') AS delta FROM orders",
+    "proxy_checks": "SELECT count(*) FILTER (event_type = 'click') AS working, count(*) AS total FROM events",
+    "proxy_best": f"WITH {PROXIES} SELECT 'proxy-' || pos AS url, pos FROM p WHERE 31622400 > banned ORDER BY s / (s + f) DESC, pos LIMIT 1",
+    "cache_names": f"WITH {LOG}, {LATEST} SELECT key, sha256(key) || '.bin' AS name, (SELECT count(*) FROM alive) AS entries FROM alive",
+    "since_last": "SELECT user_id, round((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts)) / 1e6, 3) AS gap FROM events",
 }
