@@ -19,6 +19,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--responses", required=True, help="table of page responses")
     p.add_argument("--bodies", help="table of sitemap bodies (url, body)")
     p.add_argument("--robots", help="table of robots.txt (domain, text)")
+    p.add_argument("--config", help="file of NAME=value lines, which take precedence over the environment")
+    p.add_argument("--suffixes", help="public suffix list in the registry's format, or 'bundled' for the one in Spark's HTTP client")
     p.add_argument("-v", "--verbose", action="store_true")
     p.add_argument("--workers", type=int, help="local threads, if no cluster is configured")
     p.add_argument("--save-domain-only", action="store_true", help="a row for domains without addresses, too")
@@ -32,14 +34,19 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from .config import Options
+    from .config import Options, read_settings
     from .functions import urls
-    from .operators import sitemaps, stats
+    from .operators import stats
     from .plans import discovery
+    from .runtime import cut
     from .sources import readers, writers
 
     args = parser().parse_args(argv)
-    options = Options.from_env(os.environ)
+    try:
+        options = Options.from_env(os.environ | (read_settings(args.config) if args.config else {}))
+    except OSError as e:
+        print(e, file=sys.stderr)
+        return 1
     given = {"domain_score_threshold": args.domain_threshold, "max_fallback_pages": args.max_pages, "max_workers": args.workers}
     options = options.updated({k: v for k, v in given.items() if v is not None} | {"process_pdfs": args.process_pdfs})
     builder = SparkSession.builder.appName("harrow")
@@ -53,12 +60,14 @@ def main(argv: list[str] | None = None) -> int:
         responses = spark.read.parquet(args.responses)
         good = urls.validate_url(F.col("url"), int(options["MAX_URL_LENGTH"])) & ~urls.domain_blocked(F.col("url"), options.blocked_domains)
         responses = responses.where(good if options.process_pdfs else good & ~urls.is_pdf(F.col("url")))
-        bodies = spark.read.parquet(args.bodies).withColumn("body", sitemaps.gunzip()("body")) if args.bodies else spark.createDataFrame([], "url string, body binary")
+        bodies = spark.read.parquet(args.bodies) if args.bodies else spark.createDataFrame([], "url string, body binary")
         robots = spark.read.parquet(args.robots) if args.robots else spark.createDataFrame([], "domain string, text string")
+        rules = readers.suffix_rules(spark, None if args.suffixes == "bundled" else args.suffixes) if args.suffixes else None
         rows, flags = discovery.run(
             companies, results, responses, bodies, robots,
-            threshold=options["DOMAIN_SCORE_THRESHOLD"], parts=options.priority_parts, page_limit=int(options["MAX_FALLBACK_PAGES"]), save_domain_only=args.save_domain_only, process_pdfs=options.process_pdfs,
+            threshold=options["DOMAIN_SCORE_THRESHOLD"], parts=options.priority_parts, page_limit=int(options["MAX_FALLBACK_PAGES"]), save_domain_only=args.save_domain_only, process_pdfs=options.process_pdfs, rules=rules,
         )
+        rows = cut(rows)  # written and summed up
         writers.results(rows, args.output_file)
         for name, value in stats.summary(flags, responses, rows, time.time() - began).head().asDict().items():
             print(f"{name:16} {value}")

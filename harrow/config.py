@@ -99,3 +99,15 @@ class Options:
         own = {f.name for f in fields(self)}
         numbers = dict(self.numbers) | {k.upper(): v for k, v in values.items() if k.upper() in self.numbers}
         return replace(self, numbers=numbers, **{k: v for k, v in values.items() if k in own and k != "numbers"})
+
+
+def read_settings(path: str) -> dict[str, str]:
+    """NAME=value lines; blank lines and # comments go, quotes around a value and a leading ``export`` too."""
+    out = {}
+    with open(path, encoding="utf-8") as f:
+        for line in map(str.strip, f):
+            name, sign, value = line.removeprefix("export ").partition("=")
+            if sign and not line.startswith("#"):
+                value = value.strip()
+                out[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value
+    return out

@@ -55,4 +55,6 @@ def size(entries: DataFrame) -> DataFrame:
 
 
 def write(entries: DataFrame, path: str) -> None:
-    entries.write.mode("overwrite").parquet(path)
+    """JSON lines or Parquet, by the ending of the path."""
+    out = entries.write.mode("overwrite")
+    out.json(path) if path.endswith((".json", ".jsonl")) else out.parquet(path)

@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 
 from ..config import PRIORITY_PARTS, words
 from ..functions import decoders, emails, html, scoring, urls
-from ..operators import frontier, ranking, sitemaps
+from ..operators import frontier, ranking, sitemaps, suffixes
 from ..runtime import cut
 
 
-def resolve_domains(companies: DataFrame, results: DataFrame, *, threshold: float = scoring.THRESHOLD, most: int = 10) -> DataFrame:
+def resolve_domains(companies: DataFrame, results: DataFrame, *, threshold: float = scoring.THRESHOLD, most: int = 10, rules: DataFrame | None = None) -> DataFrame:
     """companies with best link, score, domain and status: no_google, domain_unclear, skipped_domain or domain.
 
-    The first company by ``input_pos`` that reaches a domain keeps it; later ones are skipped.
+    The first company by ``input_pos`` that reaches a domain keeps it; later ones are skipped.  ``rules``: a table of
+    public suffixes (``suffixes.split_hosts``); without one, suffixes of two labels are told by a rule.
     """
     ranked = results.where((F.col("rank") <= most) & (F.coalesce(F.length("link"), F.lit(0)) > 0))
     pairs = companies.join(ranked, "company").select("input_pos", "company", "rank", "link")
-    scored = pairs.withColumn("score", scoring.score_domain(F.col("company"), F.col("link")))
+    if rules is None:
+        scored = pairs.withColumn("score", scoring.score_domain(F.col("company"), F.col("link")))
+    else:
+        split = suffixes.split_hosts(pairs.withColumn("host", urls.normalise_domain(F.col("link"))), "host", rules, private=False, unlisted=0)
+        scored = split.withColumn("score", scoring.score_parts(F.col("company"), F.col("link"), F.struct("domain", "subdomain"))).select(*pairs.columns, "score")
     best = ranking.best_by(scored, "input_pos", "score", "rank", "link")
     any_hit = results.select("company").distinct().withColumn("found", F.lit(True))
     out = companies.join(best, "input_pos", "left").join(any_hit, "company", "left")
@@ -75,12 +80,13 @@ def run(
     save_domain_only: bool = False,
     mode: str = "first",
     process_pdfs: bool = False,
+    rules: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(results, flags): distinct (Company, Domain, Email) rows in order of the input, and a row of 0/1 flags for each company.
 
     Home page and priority pages of the sitemap first; only domains that gave nothing are crawled.
     """
-    resolved = cut(resolve_domains(companies, results, threshold=threshold))
+    resolved = cut(resolve_domains(companies, results, threshold=threshold, rules=rules))
     own = resolved.where("status = 'domain'").select("input_pos", "company", "domain")
     pages = responses.withColumn("key", urls.canonicalise_query(F.col("url")))
     addresses = cut(page_addresses(pages.withColumn("url", F.col("key")), mode=mode, process_pdfs=process_pdfs))
