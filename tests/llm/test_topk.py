@@ -7,17 +7,18 @@ from harrow.llm import topk
 
 
 def brute(rows, k=20):
-    good = {}
+    good, queries = [], {}
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
         f = [math.floor(64 * float(np.float32(x))) for x in v]
-        good[i] = min(good[i], f) if i in good else f
+        good.append((i, f))
+        if i % 20 == 0:
+            queries[i] = min(queries.get(i, f), f)
     out = set()
-    for q, a in good.items():
-        if q % 20 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good.items() if i != q and len(a) == len(b))
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])}
+    for q, a in queries.items():
+        scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q and len(a) == len(b))
+        out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])}
     return out
 
 
@@ -45,6 +46,12 @@ def test_odd_rows(spark):
     check(spark, rows)
 
 
+def test_repeated_ids_are_candidates_each(spark):
+    rows = [(20, [1.0, 0.5]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (1, [0.5, 1.0]), (2, [0.75, 1.5]), (40, [1.0, 1.0]), (40, [0.0, 1.0])] + [(3, [0.25, 0.25])] * 30
+    check(spark, rows)
+    check(spark, rows, k=3, shard_rows=2, query_rows=1, leaf=1)
+
+
 def test_empty_and_few(spark):
     assert topk.top_k(table(spark, [])).count() == 0
     assert topk.top_k(table(spark, [(0, [1.0])])).count() == 0
