@@ -17,6 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 ASSIGN_HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
@@ -94,8 +95,16 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     return out
 
 
+def spans_name(columns: list[str]) -> str:
+    """``harrow_spans``, or with underscores until no column has that name."""
+    name, taken = "harrow_spans", {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def scan(documents: DataFrame, ratios: list[float], *, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds ``harrow_spans``: array<struct<s, k, e>> of all spans by start and kind, to the rows of ``documents``.
+    """Adds ``harrow_spans`` (see ``spans_name``): array<struct<s, k, e>> of all spans by start and kind, to the rows of ``documents``.
 
     k is the number of the kind, in the order assign, access, hex, markov.  Null text has no spans.
     """
@@ -105,7 +114,8 @@ def scan(documents: DataFrame, ratios: list[float], *, threshold: float = THRESH
     access = F.filter(found_if(text, F.contains(text, F.lit("AKIA")), ACCESS), lambda x: F.length(x["m"]) >= 16)
     hexes = found_if(text, text.rlike(HEX), HEX)
     worth = F.filter(found_if(text, text.rlike(STRETCH), STRETCH), lambda x: x["m"].rlike(WORTH))
-    base = documents.withColumns({"harrow_assign": assign, "harrow_access": access, "harrow_hex": hexes, "harrow_stretch": worth})
+    rows = documents.select(F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("row"), documents["text"].alias("text"))  # no name can clash
+    base = rows.withColumns({"harrow_assign": assign, "harrow_access": access, "harrow_hex": hexes, "harrow_stretch": worth})
     table = F.array(*[F.lit(x) for x in ratios])
     size = len(ALPHABET)
 
@@ -123,8 +133,7 @@ def scan(documents: DataFrame, ratios: list[float], *, threshold: float = THRESH
         return F.transform(f"harrow_{KINDS[i]}", lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e")))
 
     tagged = [tagged_as(i) for i in range(len(KINDS))]
-    base = base.withColumn("harrow_spans", F.array_sort(F.concat(*tagged)))
-    return base.drop("harrow_table", "harrow_stretch", *[f"harrow_{k}" for k in KINDS])
+    return base.select("row.*", F.array_sort(F.concat(*tagged)).alias(spans_name(documents.columns)))
 
 
 def digest_columns(scanned: DataFrame) -> DataFrame:
@@ -139,18 +148,27 @@ def digest_columns(scanned: DataFrame) -> DataFrame:
 
 
 def redact(scanned: DataFrame, columns: list[str], mark: str = "[SECRET]") -> DataFrame:
-    """The given columns, with each span of the text replaced by a mark (overlapping spans by one) and n_chars to match."""
+    """The given columns, with each span of the text replaced by a mark (overlapping spans by one) and n_chars to match.
+
+    Null and empty texts and texts without spans stay as they are, repeated rows stay repeated, an empty table stays empty.
+    n_chars of another type than numbers and strings stays, whatever the text.
+    """
+    rows = scanned.select(
+        F.struct(*[scanned[f"`{c}`"] for c in columns]).alias("row"), scanned[spans_name(columns)].alias("spans"), scanned["text"].alias("text")
+    )
     text = F.coalesce(F.col("text"), F.lit(""))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda acc, x: F.when(
         x["s"] >= acc["at"],
         F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark)).alias("out")),
     ).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out")))
-    clean = F.aggregate("harrow_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.size("harrow_spans") > 0, clean).otherwise(F.col("text"))
-    out = scanned.withColumn("harrow_text", new)
-    pick = {"text": F.col("harrow_text").alias("text"), "n_chars": F.when(F.size("harrow_spans") > 0, F.length("harrow_text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars") if "n_chars" in columns else None}
-    return out.select(*[pick.get(c, F.col(f"`{c}`")) for c in columns])
+    clean = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    rows = rows.withColumn("new", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
+    pick = {"text": F.col("new")}
+    kind = scanned.schema["n_chars"].dataType if "n_chars" in columns else None
+    if isinstance(kind, NumericType | StringType):
+        pick["n_chars"] = F.when(F.size("spans") > 0, F.length("new").cast(kind)).otherwise(F.col("row.n_chars"))
+    return rows.select(*[pick.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
 
 
 def scan_documents(documents: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:

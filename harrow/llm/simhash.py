@@ -258,11 +258,10 @@ def keep_one(docs: DataFrame, *, width: int = SHINGLE, radius: int = RADIUS, see
 
 def keep_first(docs: DataFrame, own: DataFrame) -> DataFrame:
     """The row of each root that comes first; ``own`` has doc_id, text_key and root of every row."""
-    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
     first = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("x"))
-    first = first.select(F.col("x.doc_id").alias("keep_doc_id"), F.col("x.text_key").alias("keep_text_key"))
-    kept = docs.withColumn("harrow_text_key", text_key).join(
-        first, F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("harrow_text_key") == F.col("keep_text_key"))
-    )
-    rank = Window.partitionBy("keep_doc_id", "keep_text_key").orderBy(F.xxhash64(*docs.columns))
-    return kept.withColumn("harrow_rank", F.row_number().over(rank)).where("harrow_rank = 1").select(*[docs[c] for c in docs.columns])
+    first = first.select(F.col("x.doc_id").alias("keep_id"), F.col("x.text_key").alias("keep_key"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # in one column: no name can clash
+    rows = rows.withColumn("key", F.xxhash64(F.coalesce("row.text", F.lit(""))))
+    kept = rows.join(first, F.col("row.doc_id").eqNullSafe(F.col("keep_id")) & (F.col("key") == F.col("keep_key")))
+    rank = Window.partitionBy("keep_id", "keep_key").orderBy(F.xxhash64("row"))
+    return kept.withColumn("rank", F.row_number().over(rank)).where("rank = 1").select("row.*")

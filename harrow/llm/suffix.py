@@ -338,14 +338,17 @@ def strip_documents(docs: DataFrame, **options) -> DataFrame:
     Characters cut in the middle lose their other bytes too.  A document whose text was removed in full goes.
     """
     names = docs.columns
-    rows = with_spans(docs, **options).select(*names, "harrow_spans")
+    rows = with_spans(docs.select(F.struct(*[docs[c] for c in names]).alias("row"), "text"), **options)
+    rows = rows.select("row.*", "harrow_spans").toDF(*[f"c{i}" for i in range(len(names) + 1)])  # by place: no name can clash
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructField, StructType
+    from pyspark.sql.types import NumericType, StringType, StructField, StructType
 
     schema = StructType([StructField(f.name, f.dataType, True) for f in docs.schema.fields])
     kind = to_arrow_schema(schema)
     text_at = names.index("text")
     chars_at = names.index("n_chars") if "n_chars" in names else -1
+    counted = chars_at >= 0 and isinstance(schema[chars_at].dataType, NumericType | StringType)  # of another type it stays
+    number = str if counted and isinstance(schema[chars_at].dataType, StringType) else int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,9 +364,9 @@ def strip_documents(docs: DataFrame, **options) -> DataFrame:
                     keep.append(bool(texts[-1]))
                 columns = list(part.columns[: len(names)])
                 columns[text_at] = pa.array(texts, kind.field(text_at).type)
-                if chars_at >= 0:
+                if counted:
                     old, spans = columns[chars_at].to_pylist(), part.column(len(names)).to_pylist()
-                    columns[chars_at] = pa.array([o if not x else len(t) for o, x, t in zip(old, spans, texts, strict=True)], kind.field(chars_at).type)
+                    columns[chars_at] = pa.array([o if not x else number(len(t)) for o, x, t in zip(old, spans, texts, strict=True)], kind.field(chars_at).type)
                 columns = [c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, kind, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=kind).filter(pa.array(keep))
 

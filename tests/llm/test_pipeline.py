@@ -49,3 +49,29 @@ def test_every_operator_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in own) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(own)
     importlib.import_module("__spark_entry__")
+
+
+def test_no_column_name_clashes(spark, sf_dir):
+    """Columns called like those the stages make for themselves stay as they are and change nothing."""
+    from pyspark.sql import functions as F
+
+    from harrow.llm import neardup, secretscan, suffix
+    from harrow.llm.common import table
+
+    docs = table(spark, sf_dir, "documents")
+    names = """keep_doc_id keep_text_key keep_id keep_key harrow_text_key harrow_rank rank row key root sid text_key bands shingles node src dst harrow_spans
+        harrow_spans_ spans harrow_key new harrow_text harrow_assign harrow_access harrow_hex harrow_markov harrow_stretch harrow_table c0 c1""".split()
+    more = docs.withColumns({n: F.concat(F.lit("z"), F.col("doc_id").cast("string")) for n in names})
+    ratios = secretscan.train(docs, table(spark, sf_dir, "labels"))
+    stages = [neardup.keep_one, lambda d: suffix.strip_documents(d, window=250), lambda d: secretscan.redact(secretscan.scan(d, ratios), d.columns)]
+    for stage in stages:
+        plain, wide = stage(docs), stage(more)
+        assert plain.columns == docs.columns and wide.columns == more.columns
+        want = {r.doc_id: tuple(r) for r in plain.collect()}
+        got = wide.collect()
+        assert {r.doc_id: tuple(r)[: len(docs.columns)] for r in got} == want
+        assert all(set(tuple(r)[len(docs.columns) :]) == {f"z{r.doc_id}"} for r in got)
+    texts = docs.withColumn("n_chars", F.concat(F.lit("n"), F.col("n_chars").cast("string")))
+    for stage in stages[1:]:
+        assert stage(texts).count() == stage(docs).count()
+        assert stage(docs.withColumn("n_chars", F.current_date())).select("n_chars").distinct().count() == 1
