@@ -214,6 +214,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_
     Null text counts as empty and is scored like any other.  Null doc_id gives null held_out.  Labels other than 0 and
     1 are ignored; a document with both labels counts as 1; repeated rows are scored each.  Without usable labels
     every score is 0.5.
+
+    An empty table gives no rows; a very long text is scored whole.
     """
     rows = training_rows(docs, labels, max_train)
     model = fit([t for t, _ in rows], [y for _, y in rows])
@@ -232,7 +234,10 @@ def make_filter(shared):
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier does not reject (score of at least 0.5)."""
+    """The rows of ``docs``, all columns, that the classifier does not reject (score of at least 0.5).
+
+    Null and empty texts are scored like any other, repeated rows go or stay together, an empty table stays empty.
+    """
     from pyspark.sql.types import StructField, StructType
 
     rows = training_rows(docs, labels, max_train)

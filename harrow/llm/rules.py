@@ -99,6 +99,8 @@ def ledger(docs: DataFrame) -> DataFrame:
     Null text has no words: all measurements are zero and ``too_few_words`` fails.  Null doc_id stays null, repeated
     rows give repeated results, other columns are ignored.  A word counts as capital if it has ASCII letters and all
     of them are capitals.
+
+    An empty table gives no rows; a very long text is measured whole, in one task.
     """
     out = map_columns(docs.select("doc_id", "text"), "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES), make)
     bits = " | ".join(f"if({cond}, {1 << bit}L, 0L)" for bit, _, cond in RULES)

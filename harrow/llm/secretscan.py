@@ -176,6 +176,8 @@ def scan_documents(documents: DataFrame, labels: DataFrame, *, threshold: float
 
     Null text counts as empty, null doc_id stays null, repeated rows give repeated results; other columns, whatever
     their names, change nothing.
+
+    An empty table gives no rows; a very long text is scanned whole.
     """
     return digest_columns(scan(documents.select("doc_id", "text"), train(documents, labels), threshold=threshold))
 

@@ -229,6 +229,8 @@ def near_duplicates(docs: DataFrame, *, width: int = SHINGLE, radius: int = RADI
 
     Null and wordless texts have fingerprint zero, which links like any other; a null doc_id gets the component of its
     fingerprint and counts as no doc_id when the smallest is taken.  Repeated rows and other columns change nothing.
+
+    An empty table gives no rows; a very long text has one fingerprint like any other.
     """
     fp = cut(map_columns(docs.select("doc_id", "text"), "doc_id long, fp long", make, width, seed))
     return fp.join(classes(fp, radius), "fp").select(

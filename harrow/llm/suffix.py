@@ -311,6 +311,8 @@ def deduplicate(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, shar
 
     Null text counts as empty; texts shorter than the window lose nothing.  A row repeated as a whole is a second
     place like any other, so it loses its text.  Null doc_id stays null; other columns are ignored.
+
+    An empty table gives no rows.  A very long text is mapped by one task; its windows are dealt out like all others.
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", runs array<array<int>>" if with_runs else "")
     rows = with_spans(docs.select("doc_id", "text"), window=window, gram=gram, shard_strings=shard_strings, hot_forms=hot_forms)
@@ -336,6 +338,9 @@ def strip_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, without the repeated bytes; n_chars follows the text.
 
     Characters cut in the middle lose their other bytes too.  A document whose text was removed in full goes.
+
+    Null texts and texts without repeats stay as they are, empty ones too; of a row repeated as a whole both lose a text of
+    the window's length or more.  An empty table stays empty.
     """
     names = docs.columns
     rows = with_spans(docs.select(F.struct(*[docs[c] for c in names]).alias("row"), "text"), **options)

@@ -121,6 +121,8 @@ def top_k(
     Rows repeating a vec_id are candidates each, equal ones are kept once with their number; as a query an id counts once
     (of different vectors the smallest), and rows of its own id are no candidates of it.  Ties go to the smaller vec_id.  Vectors so
     large that a score may not fit 64 bits raise an error.
+
+    An empty table gives no rows.
     """
     x = F.transform("embedding", lambda e: e.cast("double"))
     sound = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))

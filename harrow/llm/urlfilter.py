@@ -107,6 +107,8 @@ def judge_pages(pages: DataFrame, *, rules: list[tuple[str, str]] = RULES, dampi
 
     A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed.  Null html has no
     links.  Null page_id stays null, repeated rows count each, other columns are ignored.
+
+    An empty table gives no rows; a very long page is read whole, in one task.
     """
     host, path = host_and_path(F.col("url"))
     own = pages.select("page_id", "html", host.alias("host"), path.alias("path")).withColumn("by_rule", by_rules(rules))
