@@ -55,10 +55,37 @@ def attribute_values(html: Column, name: str) -> Column:
     return F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), lambda m: F.concat(F.regexp_extract(m, pattern, 1), F.regexp_extract(m, pattern, 2)))
 
 
+# Elements without an end tag.
+VOID = "area base br col embed hr img input link meta source track wbr".split()
+NAMES_CONTACT = r"""(?is)\b(?:class|id)\s*=\s*["'][^"']*(?:contact|email|\bmail\b)[^"']*["']"""
+
+
 def contact_text(html: Column) -> Column:
-    """Text of elements whose class or id names a contact or an address (simple elements; nesting is not followed)."""
-    pattern = r"""(?is)<(\w+)\b[^>]*\b(?:class|id)\s*=\s*["'][^"']*(?:contact|email|\bmail\b)[^"']*["'][^>]*>(.*?)</\1\s*>"""
-    return F.array_join(F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(2)), text_of), " ")
+    """Text of elements whose class or id names a contact or an address, with all elements within them.
+
+    A fold over tags and texts that keeps the stack of open elements: an end tag closes the last element of its name and
+    what is open within it, or nothing.  Text counts while any open element names a contact.  Elements without end tags
+    and those closed in themselves are not opened; comments, scripts and styles are left out.
+    """
+    clean = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
+    tokens = F.regexp_extract_all(clean, F.lit(r"<[^<>]*>|[^<]+|<"), F.lit(0))
+    kind = "array<struct<tag:string,own:boolean>>"
+    begin = F.struct(F.array().cast(kind).alias("open"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        stack, out = acc["open"], acc["out"]
+        name = F.lower(F.regexp_extract(x, r"^</?([A-Za-z][^\s/>]*)", 1))
+        alone = name.isin(*VOID) | F.endswith(x, F.lit("/>"))
+        back = F.array_position(F.reverse(F.transform(stack, lambda o: o["tag"])), name)
+        closed = F.when(back > 0, F.slice(stack, F.lit(1), F.size(stack) - back.cast("int"))).otherwise(stack)
+        opened = F.when(alone, stack).otherwise(F.array_append(stack, F.struct(name.alias("tag"), x.rlike(NAMES_CONTACT).alias("own"))))
+        is_open, is_end = x.rlike("^<[A-Za-z]"), x.rlike("^</[A-Za-z]")
+        after = F.when(is_open, opened).when(is_end, closed).otherwise(stack)
+        text = ~is_open & ~is_end & ~F.startswith(x, F.lit("<!")) & F.exists(stack, lambda o: o["own"])
+        return F.struct(after.alias("open"), F.when(text, F.array_append(out, x)).otherwise(out).alias("out"))
+
+    found = F.aggregate(tokens, begin, step, lambda acc: F.array_join(acc["out"], " "))
+    return F.when(html.rlike(NAMES_CONTACT), text_of(found)).otherwise("")
 
 
 def unescape():

@@ -595,6 +595,17 @@ def responses_plain(s, d):
     return discovery.page_addresses(rows)
 
 
+def contact_nested(s, d):
+    """Addresses of nested contact elements; those before and after them do not count."""
+    host = urls.normalise_domain(F.col("url"))
+    rows = read(s, d, "pages").select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("@"), host).alias("a"), F.concat(F.lit("q@"), host).alias("b"), F.concat(F.lit("out@"), host).alias("c"))
+    page = F.concat(
+        F.lit('<div class="page"><!-- <i id="contact"> --><p>'), "c", F.lit('</p><br><div id="Contact-box"><div><p>Ask <b>'), "a",
+        F.lit('</b></p><img src="x"></div><ul><li>or '), "b", F.lit("</li></ul> </div><div>not "), "c", F.lit(" </div></div></section>"),
+    )
+    return rows.select("page_id", F.explode(emails.addresses_in(html.contact_text(page))).alias("email"))
+
+
 def links_rules(s, d):
     """Links by the older filter and by the rule for mail links, over hrefs of every kind made from those of pages."""
     host = urls.normalise_domain(F.col("url"))
@@ -669,7 +680,7 @@ QUERIES = [
     status_histogram, request_totals, worker_stats, progress_running, progress_stats, batch_numbers, request_gaps,
     proxy_rank, proxy_stats, merge_kth, append_union, stats_flags_sum, drop_duplicates_full, limit_overrides,
     query_cache, time_texts, config_clamps, search_topk, engine_first, url_join, robots_lines, sitemap_candidates,
-    xml_sniff, frontier_new_links, proxy_bans, task_batches, debug_names, responses_plain, links_rules, url_rules,
+    xml_sniff, frontier_new_links, proxy_bans, task_batches, debug_names, responses_plain, contact_nested, links_rules, url_rules,
     names_relevant, head_checks, progress_total, row_delta, proxy_checks, proxy_best, cache_names, since_last,
 ]
 

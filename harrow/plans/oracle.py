@@ -257,6 +257,8 @@ SELECT g, batch, count(*) AS n FROM t WHERE NOT ok GROUP BY 1, 2""",
     "debug_names": f"""SELECT page_id, regexp_replace({NETLOC} || '_' || CASE WHEN regexp_replace({PATH}, '^/+|/+$', '', 'g') = '' THEN 'index' ELSE regexp_replace({PATH}, '^/+|/+$', '', 'g') END, '[^A-Za-z0-9._-]', '_', 'g') || '.html' AS name FROM pages""",
     "responses_plain": f"""WITH {DOC_EMAILS} SELECT DISTINCT 'https://site.de/' || doc_id || '.txt' AS url, email FROM mails
   WHERE doc_id % 3 < 3 AND doc_id % 7 <> 0 AND doc_id % 5 <> 0""",
+    "contact_nested": f"""WITH p AS (SELECT page_id, {DOMAIN} AS h FROM pages), f AS (SELECT page_id, unnest(['p' || page_id || '@' || h, 'q@' || h]) AS e FROM p)
+SELECT page_id, e AS email FROM f WHERE {VALID}""",
     "links_rules": f"""WITH h AS (SELECT page_id, {DOMAIN} AS domain, regexp_extract_all(html, '<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]*)"', 1, 'is') AS l FROM pages),
 e AS (SELECT page_id, domain, (unnest(range(1, len(l) + 1)) - 1)::INTEGER AS link_pos, replace(unnest(l), '&amp;', '&') AS raw FROM h),
 r AS (SELECT page_id, domain, link_pos, CASE link_pos % 4 WHEN 0 THEN raw WHEN 1 THEN ' MAILTO:x@' || domain WHEN 2 THEN 'https://' || domain || raw ELSE 'https://else.org' END AS href FROM e)

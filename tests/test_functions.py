@@ -156,3 +156,49 @@ def test_strict_page_composes_all_parts(spark):
     assert one(spark, decoders.cascade_strict, page) == ["a@firm.de", "b@firm.org", "c@firm.com"]
     assert one(spark, lambda c: decoders.cascade_strict(c, tlds=["shop"]), page) == ["d@firm.shop"]
     assert one(spark, decoders.cascade_strict, None) == []
+
+
+def nested_contacts(page):
+    """The texts within contact elements by the standard library's parser and a stack."""
+    import re
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.stack, self.out = [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in html.VOID:
+                named = any(k in ("class", "id") and re.search(r"contact|email|\bmail\b", v or "", re.I) for k, v in attrs)
+                self.stack.append((tag, named))
+
+        def handle_startendtag(self, tag, attrs):
+            pass
+
+        def handle_endtag(self, tag):
+            for i in range(len(self.stack) - 1, -1, -1):
+                if self.stack[i][0] == tag:
+                    del self.stack[i:]
+                    break
+
+        def handle_data(self, data):
+            if any(n for _, n in self.stack) and not (self.stack and self.stack[-1][0] in ("script", "style")):
+                self.out += data.split()
+
+    r = Reader()
+    r.feed(page)
+    r.close()
+    return r.out
+
+
+def test_nested_contact_elements_equal_a_parser(spark):
+    import random
+
+    rnd, pages = random.Random(5), ["", "plain", '<div class="contact">open <p>end', '<DIV ID="email">a<br/>b</DIV>c</div>', '<p class="mailing">no</p><p class="x mail y">yes</p>']
+    parts = ["<div>", "</div>", '<div class="my-contact x">', '<p id="email">', "</p>", "<p>", "<span class='contacts'>", "<span>", "</span>", "<br>", '<img src="a>b">'.replace(">b", "b"), "<b/>", "<!-- </div> -->", "<script>var x = '</p>';</script>"]
+    for _ in range(150):
+        pages.append("".join(rnd.choice(parts) + f" w{rnd.randrange(99)} " for _ in range(rnd.randint(1, 25))))
+    got = spark.createDataFrame(list(enumerate(pages)), "i int, page string").select("i", html.contact_text(F.col("page")).alias("t")).collect()
+    for r in got:
+        assert r.t.split() == nested_contacts(pages[r.i]), pages[r.i]
