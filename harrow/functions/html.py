@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +39,62 @@ def unescape_common(text: Column) -> Column:
     return F.get(F.transform(F.array(text), named), F.lit(0))
 
 
+def name_tables() -> tuple[Column, Column, int]:
+    """Maps of the standard library's entity names, by first letter, and of those that need no semicolon; the longest of these."""
+    from html.entities import html5
+
+    by_letter: dict[str, dict[str, str]] = {}
+    for name, chars in html5.items():
+        by_letter.setdefault(name[0], {})[name] = chars
+    bare = {n: c for n, c in html5.items() if not n.endswith(";")}
+    table = lambda m, kind: F.from_json(F.lit(json.dumps(m)), kind)  # noqa: E731  a constant: worked out once for a plan
+    return table(by_letter, "map<string,map<string,string>>"), table(bare, "map<string,string>"), max(map(len, bare))
+
+
+def numbered_character(digits: Column, base: int) -> Column:
+    """What a number stands for: as Windows-1252 from 128 to 159, nothing for control characters and non-characters."""
+    plain = F.regexp_replace(digits, "^0+", "")
+    n = F.when(F.length(plain) > 7, 1 << 30).otherwise(F.conv(F.when(plain == "", "0").otherwise(plain), base, 10).cast("bigint"))
+    windows = [bytes([b]).decode("cp1252", errors="ignore") or chr(b) for b in range(128, 160)]
+    nothing = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(64976, 65007) | (n % 65536 >= 65534)
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return (
+        F.when((n == 0) | n.between(55296, 57343) | (n > 1114111), F.lit("\ufffd"))
+        .when(n.between(128, 159), F.get(F.array(*map(F.lit, windows)), (n - 128).cast("int")))
+        .when(nothing, F.lit(""))
+        .otherwise(char)
+    )
+
+
+def unescape_all(text: Column) -> Column:
+    """``html.unescape`` natively: every named entity, the longest name that fits where the semicolon is missing, numbers.
+
+    One pass over the pieces after each ``&``, so nothing is unescaped twice.
+    """
+    names, bare, longest = name_tables()
+
+    def piece(p: Column) -> Column:
+        number, name = F.regexp_extract(p, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0), F.regexp_extract(p, r"^[^\t\n\f <&#;]{1,32};?", 0)
+        found = F.try_element_at(F.try_element_at(names, F.substring(name, 1, 1)), name)
+        starts = F.transform(F.sequence(F.lit(longest), F.lit(2), F.lit(-1)), lambda k: F.when(k < F.length(name), F.substring(name, F.lit(1), k)))
+        short = F.get(F.filter(starts, lambda x: F.try_element_at(bare, F.coalesce(x, F.lit(""))).isNotNull()), F.lit(0))
+        rest = lambda m: F.substring(p, F.length(m) + 1, F.length(p))
+        digits = F.regexp_extract(number, "([0-9a-fA-F]+);?$", 1)
+        is_hex = F.lower(number).startswith("#x")
+        return (
+            F.when(number != "", F.concat(F.when(is_hex, numbered_character(digits, 16)).otherwise(numbered_character(digits, 10)), rest(number)))
+            .when(found.isNotNull(), F.concat(found, rest(name)))
+            .when(short.isNotNull(), F.concat(F.try_element_at(bare, short), rest(short)))
+            .otherwise(F.concat(F.lit("&"), p))
+        )
+
+    def whole(t: Column) -> Column:
+        parts = F.split(t, "&")
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece), ""))
+
+    return F.get(F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit("&")), whole(t)).otherwise(t)), F.lit(0))
+
+
 def text_of(html: Column) -> Column:
     """Text without comments, scripts, styles and tags; tags become one blank."""
     plain = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")

@@ -27,6 +27,7 @@ NATIVE: dict[str, tuple[Callable[[Column], Column], str]] = {
     "page_addresses": (decoders.cascade, "array<string>"),
     "page_addresses_strict": (decoders.cascade_strict, "array<string>"),
     "html_text": (html.text_of, "string"),
+    "unescape_html": (html.unescape_all, "string"),
     "html_links": (html.hrefs, "array<string>"),
     "clean_company_name": (scoring.clean_company_name, "string"),
 }

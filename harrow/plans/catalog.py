@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import clamp_column, words_column
-from ..functions import decoders, emails, html, scoring, urls
+from ..functions import decoders, emails, html, scoring, sql, urls
 from ..operators import cache, frontier, joins, pacing, ranking, similarity, sitemaps, stats, suffixes
 from ..runtime import ship
 from . import discovery
@@ -606,6 +606,20 @@ def contact_nested(s, d):
     return rows.select("page_id", F.explode(emails.addresses_in(html.contact_text(page))).alias("email"))
 
 
+#: Entities and what they stand for: names, also without a semicolon or with more behind them, numbers, none.
+ENTITY_CASES = [
+    ("&eacute;", "é"), ("&copy", "©"), ("&NotEqualTilde;", "\u2242\u0338"), ("&amp;lt;", "&lt;"), ("&#8364;", "€"), ("&#x80;", "€"), ("&notit;", "¬it;"),
+    ("&frac12", "½"), ("&nosuch;", "&nosuch;"), ("&#0;", "\ufffd"), ("&#x1;", ""),
+]
+
+
+def entities_named(s, d):
+    """Entities of every kind within addresses of pages."""
+    case = F.get(F.array(*[F.lit(e) for e, _ in ENTITY_CASES]), (F.col("page_id") % len(ENTITY_CASES)).cast("int"))
+    text = F.concat(urls.normalise_domain(F.col("url")), case, F.lit("-"), F.col("page_id").cast("string"))
+    return sql.with_function(read(s, d, "pages").select("page_id", text.alias("raw")), "unescape_html", "raw", "text")
+
+
 def links_rules(s, d):
     """Links by the older filter and by the rule for mail links, over hrefs of every kind made from those of pages."""
     host = urls.normalise_domain(F.col("url"))
@@ -680,7 +694,7 @@ QUERIES = [
     status_histogram, request_totals, worker_stats, progress_running, progress_stats, batch_numbers, request_gaps,
     proxy_rank, proxy_stats, merge_kth, append_union, stats_flags_sum, drop_duplicates_full, limit_overrides,
     query_cache, time_texts, config_clamps, search_topk, engine_first, url_join, robots_lines, sitemap_candidates,
-    xml_sniff, frontier_new_links, proxy_bans, task_batches, debug_names, responses_plain, contact_nested, links_rules, url_rules,
+    xml_sniff, frontier_new_links, proxy_bans, task_batches, debug_names, responses_plain, contact_nested, entities_named, links_rules, url_rules,
     names_relevant, head_checks, progress_total, row_delta, proxy_checks, proxy_best, cache_names, since_last,
 ]
 

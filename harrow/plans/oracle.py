@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.emails import BLACKLIST, FILE_EXTENSIONS, GENERIC_TLDS, ROLES
 from ..functions.scoring import COMPANY_SUFFIXES, PENALTY_DOMAINS, SECOND_LEVEL
-from .catalog import SUFFIX_RULES
+from .catalog import ENTITY_CASES, SUFFIX_RULES
 
 
 def scores(pairs: str, threshold: float = 0) -> str:
@@ -257,6 +257,8 @@ SELECT g, batch, count(*) AS n FROM t WHERE NOT ok GROUP BY 1, 2""",
     "debug_names": f"""SELECT page_id, regexp_replace({NETLOC} || '_' || CASE WHEN regexp_replace({PATH}, '^/+|/+$', '', 'g') = '' THEN 'index' ELSE regexp_replace({PATH}, '^/+|/+$', '', 'g') END, '[^A-Za-z0-9._-]', '_', 'g') || '.html' AS name FROM pages""",
     "responses_plain": f"""WITH {DOC_EMAILS} SELECT DISTINCT 'https://site.de/' || doc_id || '.txt' AS url, email FROM mails
   WHERE doc_id % 3 < 3 AND doc_id % 7 <> 0 AND doc_id % 5 <> 0""",
+    "entities_named": f"""WITH p AS (SELECT page_id, {DOMAIN} AS h, [{quoted(e for e, _ in ENTITY_CASES)}][page_id % {len(ENTITY_CASES)} + 1] AS e, [{quoted(c for _, c in ENTITY_CASES)}][page_id % {len(ENTITY_CASES)} + 1] AS c FROM pages)
+SELECT page_id, h || e || '-' || page_id AS raw, h || c || '-' || page_id AS text FROM p""",
     "contact_nested": f"""WITH p AS (SELECT page_id, {DOMAIN} AS h FROM pages), f AS (SELECT page_id, unnest(['p' || page_id || '@' || h, 'q@' || h]) AS e FROM p)
 SELECT page_id, e AS email FROM f WHERE {VALID}""",
     "links_rules": f"""WITH h AS (SELECT page_id, {DOMAIN} AS domain, regexp_extract_all(html, '<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]*)"', 1, 'is') AS l FROM pages),

@@ -202,3 +202,22 @@ def test_nested_contact_elements_equal_a_parser(spark):
     got = spark.createDataFrame(list(enumerate(pages)), "i int, page string").select("i", html.contact_text(F.col("page")).alias("t")).collect()
     for r in got:
         assert r.t.split() == nested_contacts(pages[r.i]), pages[r.i]
+
+
+def test_native_entities_equal_the_standard_library(spark):
+    import html as lib
+    import random
+    from html.entities import html5
+
+    rnd = random.Random(3)
+    texts = [None, "", "none", "&", "&&", "&;", "&#;", "&#x;", "&amp;lt;", "&amp;amp;#64;", "&notit;", "&notin;", "&NotAnEntity;", "&#00064", "&#x0000000040z", "&#99999999999999999999;", "x&copy2&reg", "&ampamp"]
+    for name in html5:
+        texts += [f"a&{name}b", f"&{name.rstrip(';')}x;", f"&{name.rstrip(';')}"]
+    for n in [*range(0, 170), 55295, 55296, 57343, 57344, 64975, 64976, 65007, 65008, 65533, 65534, 65535, 65536, 131070, 1114109, 1114111, 1114112]:
+        texts += [f"&#{n};", f"&#x{n:X}g", f"&#{n}"]
+    for _ in range(300):
+        texts.append("".join(rnd.choice(["&", "&amp", ";", "lt", "#6", "4", "x40", "é", " ", "Gt", "eacute", "\n"]) for _ in range(rnd.randint(1, 9))))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4).select("i", html.unescape_all(F.col("t")).alias("u")).collect()
+    for r in rows:
+        want = None if texts[r.i] is None else lib.unescape(texts[r.i])
+        assert r.u == want, (texts[r.i], r.u, want)
