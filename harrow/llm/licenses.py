@@ -99,18 +99,22 @@ class Notices:
         self.pieces.make_automaton()
 
     def regions(self, joined: str) -> list[tuple[int, int, int]]:
-        """(notice, start, end): where a place of the notice can be, out to ends of words."""
-        out, last = [], {}
+        """(notice, start, end): where a place of the notice can be, out to ends of words; regions of a notice are apart."""
+        found: dict[int, list[tuple[int, int]]] = {}
         for end, (size, of) in self.pieces.iter(joined):
             for i, at in of:
                 k, begin = edits(self.notices[i][0]), end + 1 - size - at
                 a, b = begin - k, begin + len(self.notices[i][0]) + k
                 a, b = joined.rfind(" ", 0, a) + 1 if a > 0 else 0, joined.find(" ", b) if b < len(joined) else -1
-                b = len(joined) if b < 0 else b
-                if i in last and a <= out[last[i]][2] + 1:
-                    out[last[i]] = (i, min(a, out[last[i]][1]), max(b, out[last[i]][2]))
+                found.setdefault(i, []).append((a, len(joined) if b < 0 else b))
+        out = []
+        for i, spans in found.items():
+            spans.sort()
+            first = len(out)
+            for a, b in spans:
+                if len(out) > first and a <= out[-1][2] + 1:
+                    out[-1] = (i, out[-1][1], max(b, out[-1][2]))
                 else:
-                    last[i] = len(out)
                     out.append((i, a, b))
         return out
 

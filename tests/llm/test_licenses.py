@@ -99,6 +99,20 @@ def test_planted_notices_within_their_edits_are_found(found):
                     assert any(k == i for k, *_ in search(joined)), inner
 
 
+def test_regions_of_a_notice_are_apart():
+    rnd, notices = random.Random(8), licenses.Notices()
+    bits = [p for n, _ in licenses.NOTICES[:4] for _, p in licenses.pieces(n)]
+    for _ in range(400):
+        joined = licenses.words_of("".join(rnd.choice([*bits, " x ", "y"]) for _ in range(rnd.randint(2, 14))))
+        last = {}
+        for i, a, b in notices.regions(joined):
+            assert a < b and a > last.get(i, -2) + 1
+            last[i] = b
+        assert [f for f in notices.search(joined) if notices.notices[f[0]] in licenses.NOTICES[:4]] == sorted(
+            ((i, m.start(), m.end(), sum(m.fuzzy_counts)) for i in range(4) for m in notices.patterns[i].finditer(joined)), key=lambda f: (f[1], f[0])
+        )
+
+
 def test_real_texts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     own = {r.doc_id: r.text for r in docs.collect()}
