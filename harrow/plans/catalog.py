@@ -95,7 +95,8 @@ def deobf_charcode(s, d):
 def deobf_base64(s, d):
     text = F.concat(F.lit("please write to the desk: "), F.col("a"), F.lit(" thanks"))
     rows = read(s, d, "documents").select("doc_id", _address().alias("a"))
-    return rows.select("doc_id", decoders.decode_base64_blocks(F.concat(F.lit("v='"), F.base64(F.encode(text, "UTF-8")), F.lit("'"))).alias("text"))
+    block = F.regexp_replace(F.base64(F.encode(text, "UTF-8")), "\\s", "")  # Spark breaks lines after 76 characters, a script's string has none
+    return rows.select("doc_id", decoders.decode_base64_blocks(F.concat(F.lit("v='"), block, F.lit("'"))).alias("text"))
 
 
 def deobf_rot13(s, d):
