@@ -62,8 +62,9 @@ def looks_like_xml(body: Column) -> Column:
     return F.startswith(head, F.lit("<?xml")) | F.contains(head, F.lit("<urlset")) | F.contains(head, F.lit("<sitemapindex"))
 
 
-def within_size(body: Column) -> Column:
-    return F.octet_length(body).between(1, MOST_BYTES)
+def within_size(body: Column, most_bytes: int | None = MOST_BYTES) -> Column:
+    n = F.octet_length(body)
+    return n > 0 if most_bytes is None else n.between(1, most_bytes)
 
 
 def head_allows(content_type: Column, content_length: Column) -> Column:
@@ -96,18 +97,18 @@ def candidates(domains: DataFrame, names: Sequence[str] = SITEMAP_NAMES) -> Data
     return each.select("domain", (F.col("h") * len(names) + F.col("n")).alias("pos"), F.concat(F.lit("https://"), "host", F.lit("/"), "name").alias("url"))
 
 
-def discover(domains: DataFrame, bodies: DataFrame, robots: DataFrame, names: Sequence[str] = SITEMAP_NAMES, *, every: bool = False) -> DataFrame:
+def discover(domains: DataFrame, bodies: DataFrame, robots: DataFrame, names: Sequence[str] = SITEMAP_NAMES, *, every: bool = False, most_bytes: int | None = MOST_BYTES) -> DataFrame:
     """(domain, url): the first candidate that is a sitemap (all of them: ``every``), else those of robots.txt."""
-    good = unpacked(bodies).where(within_size(F.col("body")) & looks_like_xml(F.col("body"))).select("url")
+    good = unpacked(bodies).where(within_size(F.col("body"), most_bytes) & looks_like_xml(F.col("body"))).select("url")
     hits = candidates(domains, names).join(good.select("url"), "url", "left_semi")
     hits = hits if every else ranking.first_per(hits, "domain", ["pos"])
     named = robots_sitemaps(robots).join(hits, "domain", "left_anti").join(good.select("url"), "url", "left_semi")
     return hits.select("domain", "url").unionByName(named.select("domain", "url")).distinct()
 
 
-def listings(bodies: DataFrame, most: int | None = 10_000) -> DataFrame:
+def listings(bodies: DataFrame, most: int | None = 10_000, most_bytes: int | None = MOST_BYTES) -> DataFrame:
     """(url, index, locs) of the bodies that are sitemaps, gzip unpacked; the first ``most`` locations of each, or all."""
-    docs = unpacked(bodies).where(within_size(F.col("body")) & looks_like_xml(F.col("body"))).select("url", as_text(F.col("body")).alias("text"))
+    docs = unpacked(bodies).where(within_size(F.col("body"), most_bytes) & looks_like_xml(F.col("body"))).select("url", as_text(F.col("body")).alias("text"))
     locs = locations(F.col("text"))
     return docs.select("url", is_index(F.col("text")).alias("index"), (locs if most is None else F.slice(locs, 1, most)).alias("locs"))
 
@@ -132,13 +133,14 @@ def reached(found: DataFrame, indexes: DataFrame, most_levels: int = 10_000) ->
     return reduce(DataFrame.unionByName, [part for _, part, _ in seen.parts]) if levels else level
 
 
-def pages_of(found: DataFrame, bodies: DataFrame, *, most: int | None = 10_000, index_locs: bool = False, most_levels: int = 10_000) -> DataFrame:
+def pages_of(found: DataFrame, bodies: DataFrame, *, most: int | None = 10_000, index_locs: bool = False, most_levels: int = 10_000, most_bytes: int | None = MOST_BYTES) -> DataFrame:
     """(domain, sitemap_url, pos, url): pages listed in sitemaps and in those their indexes name, to any depth.
 
-    ``most``: the first locations of a sitemap that count, None for all.  ``index_locs``: entries of indexes are pages too,
+    ``most``: the first locations of a sitemap that count, None for all.  ``most_bytes``: longer sitemaps do not count,
+    None for any length.  ``index_locs``: entries of indexes are pages too,
     as the older form has it.  Bodies are parsed once; levels join only the entries of indexes.
     """
-    known = cut(listings(bodies, most))
+    known = cut(listings(bodies, most, most_bytes))
     every = reached(found, known.where("index"), most_levels).join(known, F.col("sitemap_url") == F.col("url"))
     every = every if index_locs else every.where("not index")
     pages = every.select("domain", "sitemap_url", F.posexplode("locs").alias("pos", "url"))

@@ -333,7 +333,7 @@ def _sitemap_pages(s, d):
     domains = read(s, d, "pages").select(urls.normalise_domain(F.col("url")).alias("domain")).distinct()
     bodies = _sitemap_bodies(s, d)
     robots = s.createDataFrame([], "domain string, text string")
-    return sitemaps.pages_of(sitemaps.discover(domains, bodies, robots), bodies)
+    return sitemaps.pages_of(sitemaps.discover(domains, bodies, robots, most_bytes=None), bodies, most=None, most_bytes=None)
 
 
 def sitemap_locs(s, d):

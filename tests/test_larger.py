@@ -26,3 +26,9 @@ def differing(spark, tmp_path):
 def test_base64_of_long_numbers(differing):
     docs = "SELECT unnest([1, 9999, 10000, 123456, 9876543210123])::BIGINT AS doc_id, 'x' AS text"
     assert differing("deobf_base64", documents=docs) == ([], 0)
+
+
+@pytest.mark.parametrize("name", ["sitemap_locs", "sitemap_priority"])
+def test_a_sitemap_of_more_than_ten_thousand_pages(differing, name):
+    pages = "SELECT i AS page_id, 'https://' || CASE WHEN i % 9 = 0 THEN 'b' ELSE 'a' END || '.de/' || CASE WHEN i > 12000 THEN 'en/' ELSE '' END || i AS url FROM range(12100) t(i)"
+    assert differing(name, pages=pages) == ([], 0)
