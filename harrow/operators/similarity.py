@@ -1,62 +1,113 @@
-"""Similarity joins: pairs of strings whose partial similarity reaches a threshold, through an index of rare q-grams.
-
-For a threshold of r (as a fraction), the shorter string of a pair that counts has m characters and keeps in common order
-with some stretch of the longer one all but D of its q-grams: D = m (2 - 2r) / (2 - r) of its characters for q = 1, twice
-that or 3 m (1 - r) for q = 2, whichever is more.  So of any D + 1 of its q-grams the longer string has one.  The D + 1
-rarest are its prefix: shorter strings are joined by their prefixes with all q-grams of longer ones, and what meets is
-compared exactly.  Bigrams are used where they are enough in number, single characters else.  The k-th occurrence of a
-q-gram in a string is a q-gram of its own.  No pair that counts is lost.
+"""Similarity joins: pairs of strings whose partial similarity reaches a threshold, all pairs, in cells of bounded size.
+
+Both sides are dealt into blocks by hash, and every block of one meets every block of the other in a cell of its own: a
+cell has so many rows whatever the strings are, so none is larger for a common letter or name.  Within a cell nearly all
+pairs are ruled out by a word of 64 bits for each string (``alike.similar``), the others are compared exactly.  No pair
+that counts is lost.  Pairs looked at are the product of both sides, by nature of the job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scoring, urls
+from ..functions import alike, scoring, urls
 from ..runtime import cut
 
+#: Rows of a block, and below which number of rows more blocks do not pay.
+BLOCK, LEAST = 4096, 256
+#: Tasks at most that cells are dealt to.
+TASKS = 8192
 
-def lost(m: Column, r: float, q: int) -> Column:
-    """The most q-grams of a string of m characters that a pair at ``r`` or more may fail to share."""
-    share = (2 - 2 * r) / (2 - r)
-    share = share if q == 1 else max(2 * share, 3 * (1 - r))
-    return F.floor(m * share + 1e-9).cast("int")
 
+def compare(threshold: float):
+    """Over rows (cell, side, name, p, q, less) sorted by cell: names of both sides with their score, at the threshold or above.
 
-def grams(text: Column, q: int) -> Column:
-    """array<string>: the q-grams, numbered where they repeat."""
-    n = F.length(text) - q + 1
-    own = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
-    return scoring.bound(own, lambda g: F.transform(g, lambda x, i: F.concat(x, F.size(F.filter(F.slice(g, F.lit(1), i), lambda y: y == x)).cast("string"))))
+    The score is the best similarity of p of side 0 to p or q of side 1, less what side 1 has as ``less``.
+    """
 
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        side = rows.column(1).to_numpy()
+        left, right = rows.filter(pa.array(side == 0)), rows.filter(pa.array(side == 1))
+        if not left.num_rows or not right.num_rows:
+            return
+        a, of_a = np.unique(left.column(3).to_numpy(zero_copy_only=False).astype(object), return_inverse=True)
+        parts = [right.column(k).to_pylist() for k in (3, 4)]
+        own = np.array([(x, k) for part in parts for k, x in enumerate(part) if x], dtype=object).reshape(-1, 2)
+        b, of_b = np.unique(own[:, 0], return_inverse=True)
+        host, less = own[:, 1].astype(np.int64), right.column(5).to_numpy()
+        by_a, by_b = np.argsort(of_a, kind="stable"), np.argsort(of_b, kind="stable")
+        first_a, first_b = np.searchsorted(of_a[by_a], np.arange(len(a) + 1)), np.searchsorted(of_b[by_b], np.arange(len(b) + 1))
+        for i, j, v in alike.similar(a.tolist(), b.tolist(), threshold):
+            pair, at = spread(first_b, j)
+            h, i, v = host[by_b[at]], i[pair], v[pair]
+            order = np.lexsort((-v, h, i))
+            h, i, v = h[order], i[order], v[order]
+            best = np.r_[True, (h[1:] != h[:-1]) | (i[1:] != i[:-1])][: len(h)]
+            score = np.maximum(0.0, v - less[h])
+            good = best & (score >= threshold)
+            pair, at = spread(first_a, i[good])
+            yield pa.RecordBatch.from_arrays(
+                [left.column(2).take(pa.array(by_a[at])).combine_chunks(), right.column(2).take(pa.array(h[good][pair])).combine_chunks(), pa.array(score[good][pair])],
+                names=["name", "other", "score"],
+            )
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of all different strings a of ``left`` (column a) and b of ``right`` (column b) at the threshold or above.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            cells = batch.column(0).to_numpy()
+            edges = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True]) if len(cells) else []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if held and held[0].column(0)[0].as_py() != cells[lo]:
+                    yield from work(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from work(pa.Table.from_batches(held))
 
-    Null and empty strings take no part.  Common q-grams are not in prefixes, so no q-gram collects many strings of both
-    kinds unless all of their q-grams are common.
-    """
+    return run
+
+
+def spread(first: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each j all places from first[j] to first[j + 1]: which of j, and the place."""
+    n = first[j + 1] - first[j]
+    pair = np.repeat(np.arange(len(j)), n)
+    return pair, np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + first[j][pair]
+
+
+def met(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(name, other, score) of left (name, p) and right (name, p, q, less): each block of one in a cell with each of the other."""
     if not 0 < threshold <= 100:
         raise ValueError("threshold must be above 0 and at most 100")
-    r = threshold / 100
-    sides = left.select(F.col("a").alias("text"), F.lit("a").alias("side")).unionByName(right.select(F.col("b").alias("text"), F.lit("b").alias("side")))
-    strings = cut(sides.where("text != ''").distinct().withColumn("m", F.length("text")))
-    every = strings.select("text", "side", "m", F.explode(F.concat(grams(F.col("text"), 1), grams(F.col("text"), 2))).alias("gram"))
-    often = every.groupBy("gram").agg(F.count("*").alias("n"))
-    q = F.when(lost(F.col("m"), r, 2) < F.col("m") - 1, 2).otherwise(1)
-    most = F.when(q == 2, lost(F.col("m"), r, 2)).otherwise(lost(F.col("m"), r, 1)) + 1
-    wanted = strings.select("text", "side", "m", most.alias("most"), F.explode(F.when(q == 2, grams(F.col("text"), 2)).otherwise(grams(F.col("text"), 1))).alias("gram"))
-    rare = wanted.join(often, "gram").groupBy("text", "side", "m", "most").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
-    rare = rare.select("text", "side", "m", F.explode(F.slice(F.col("g.gram"), F.lit(1), F.col("most"))).alias("gram"))
-    s, t = rare.alias("s"), every.alias("t")
-    met = s.join(t, (F.col("s.gram") == F.col("t.gram")) & (F.col("s.side") != F.col("t.side")) & (F.col("s.m") <= F.col("t.m")))
-    a = F.when(F.col("s.side") == "a", F.col("s.text")).otherwise(F.col("t.text"))
-    b = F.when(F.col("s.side") == "a", F.col("t.text")).otherwise(F.col("s.text"))
+    least = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = cut(left), cut(right)
+    na, nb = (max(math.ceil(n / BLOCK), min(least, math.ceil(n / LEAST)), 1) for n in (left.count(), right.count()))
+
+    def dealt(rows: DataFrame, side: int, blocks: int, others: int) -> DataFrame:
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("name", "p"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        cell = F.col("other") * nb + F.col("own") if side else F.col("own") * nb + F.col("other")
+        return rows.select(cell.cast("long").alias("cell"), F.lit(side).alias("side"), "name", "p", "q", "less")
+
+    left = left.select("name", "p", F.lit(None).cast("string").alias("q"), F.lit(0.0).alias("less"))
+    cells = dealt(left, 0, na, nb).unionByName(dealt(right, 1, nb, na))
     # by number, so that few bytes of pairs still are the work of many tasks
-    pairs = met.select(a.alias("a"), b.alias("b")).repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b").distinct()
-    scored = pairs.withColumn("similarity", scoring.similarity(F.col("a"), F.col("b"), floor=threshold - 1e-6))
-    return cut(scored).where(F.col("similarity") >= threshold)  # written before the filter, which would score twice
+    cells = cells.repartition(min(max(least, na * nb), TASKS), "cell").sortWithinPartitions("cell")
+    return cells.mapInArrow(compare(threshold), "name string, other string, score double")
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of all different strings a of ``left`` (column a) and b of ``right`` (column b) at the threshold or above.
+
+    Null and empty strings take no part.
+    """
+    a, b = left.where("a != ''").select("a").distinct(), right.where("b != ''").select("b").distinct()
+    own = b.select(F.col("b").alias("name"), F.col("b").alias("p"), F.lit(None).cast("string").alias("q"), F.lit(0.0).alias("less"))
+    return met(a.select(F.col("a").alias("name"), F.col("a").alias("p")), own, threshold).toDF("a", "b", "similarity")
 
 
 def scored_pairs(companies: DataFrame, hosts: DataFrame, threshold: float = scoring.THRESHOLD) -> DataFrame:
@@ -64,12 +115,8 @@ def scored_pairs(companies: DataFrame, hosts: DataFrame, threshold: float = scor
 
     Names too short to be compared score the same everywhere and are left out.
     """
-    names = companies.select("company").distinct().withColumn("base", scoring.clean_company_name(F.col("company"))).where(F.length("base") >= scoring.SHORTEST)
-    parts = scoring.split_domain(F.col("host"))
-    own = hosts.select(urls.normalise_domain(F.col("host")).alias("host")).distinct()
-    own = own.select("host", F.explode(F.array_distinct(F.array(parts["domain"], parts["subdomain"]))).alias("part")).where("part != ''")
-    pairs = similar_pairs(names.select(F.col("base").alias("a")), own.select(F.col("part").alias("b")), threshold)
-    best = pairs.join(own, F.col("b") == F.col("part")).groupBy("a", "host").agg(F.max("similarity").alias("best"))
-    score = F.greatest(F.lit(0.0), F.col("best") - scoring.penalty(F.col("host")))
-    good = best.withColumn("score", score).where(F.col("score") >= threshold)
-    return good.join(names, F.col("a") == F.col("base")).select("company", "host", "score")
+    names = companies.select(F.col("company").alias("name")).distinct().withColumn("p", scoring.clean_company_name(F.col("name"))).where(F.length("p") >= scoring.SHORTEST)
+    parts = scoring.split_domain(F.col("name"))
+    own = hosts.select(urls.normalise_domain(F.col("host")).alias("name")).where("name is not null").distinct()
+    own = own.select("name", parts["domain"].alias("p"), parts["subdomain"].alias("q"), scoring.penalty(F.col("name")).cast("double").alias("less"))
+    return met(names, own, threshold).toDF("company", "host", "score")

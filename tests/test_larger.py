@@ -1,9 +1,13 @@
 """Queries against their SQL on small tables that have what the test tables lack: long numbers, many pages of one host."""
 
+import random
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from harrow.functions import scoring
+from harrow.operators import similarity
 
 
 @pytest.fixture
@@ -32,3 +36,17 @@ def test_base64_of_long_numbers(differing):
 def test_a_sitemap_of_more_than_ten_thousand_pages(differing, name):
     pages = "SELECT i AS page_id, 'https://' || CASE WHEN i % 9 = 0 THEN 'b' ELSE 'a' END || '.de/' || CASE WHEN i > 12000 THEN 'en/' ELSE '' END || i AS url FROM range(12100) t(i)"
     assert differing(name, pages=pages) == ([], 0)
+
+
+def test_join_of_thousands_of_names_with_common_letters(spark):
+    """All bigrams are common here, so that an index of them lets nearly all pairs through."""
+    import time
+
+    rnd = random.Random(3)
+    names = ["".join(rnd.choice("0123456789abcdef") for _ in range(14)) for _ in range(3000)]
+    a, b = spark.createDataFrame([(x,) for x in names], "a string"), spark.createDataFrame([(x[:5] + x[6:],) for x in names], "b string")
+    began = time.perf_counter()
+    got = {(r.a, r.b): r.similarity for r in similarity.similar_pairs(a, b, 70).collect()}
+    assert time.perf_counter() - began < 60
+    assert all((x, x[:5] + x[6:]) in got for x in names)
+    assert all(v == scoring.partial_similarity(*k) for k, v in rnd.sample(sorted(got.items()), 500))
