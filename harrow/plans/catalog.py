@@ -243,7 +243,8 @@ def domain_score_join(s, d):
 
 def _hits(s, d):
     """Five hits for each part by name and brand: letters missing, a portal, letters turned, a beginning, the same again."""
-    p = read(s, d, "part").select("p_partkey", F.concat("p_name", F.lit(" "), "p_brand", F.lit(" Ltd.")).alias("company"))
+    part = read(s, d, "part").repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "p_partkey")  # few bytes, much work
+    p = part.select("p_partkey", F.concat("p_name", F.lit(" "), "p_brand", F.lit(" Ltd.")).alias("company"))
     base = F.regexp_replace(F.lower("company"), " ltd[.]$|[^a-z0-9]", "")
     short = F.substring(base, F.lit(1), 4 + F.col("p_partkey") % 9)
     links = F.array(

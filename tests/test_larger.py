@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from harrow.functions import scoring
 from harrow.operators import similarity
+from harrow.plans import catalog
 
 
 @pytest.fixture
@@ -50,3 +51,17 @@ def test_join_of_thousands_of_names_with_common_letters(spark):
     assert time.perf_counter() - began < 60
     assert all((x, x[:5] + x[6:]) in got for x in names)
     assert all(v == scoring.partial_similarity(*k) for k, v in rnd.sample(sorted(got.items()), 500))
+
+
+def test_scores_of_long_strings_equal_the_loop(spark):
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcdé😀") for _ in range(n))
+    sizes = [0, 1, 20, 63, 64, 65, 130, 511, 512, 513, 600]
+    rows = [(word(m), word(n), word(rnd.choice(sizes))) for m in sizes for n in sizes]
+    frame = spark.createDataFrame(rows, "a string, b string, c string")
+    for r in frame.select("*", scoring.best_similarity()("a", "b", "c").alias("v")).collect():
+        assert r.v == max(scoring.partial_similarity(r.a, r.b), scoring.partial_similarity(r.a, r.c))
+
+
+def test_hits_of_names_are_the_work_of_many_tasks(spark, sf_dir):
+    assert catalog._hits(spark, sf_dir).rdd.getNumPartitions() == 4
