@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from . import ranking
 from .seen import SeenSet
 
 MOST_BYTES = 50 * 1024 * 1024
+#: Steps between indexes that one task holds, and starts that it walks from.
+MOST_STEPS, MOST_STARTS = 250_000, 50_000
 LOC = r"(?is)<(?:[A-Za-z0-9_-]+:)?loc\b[^>]*>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</(?:[A-Za-z0-9_-]+:)?loc\s*>"
 
 
@@ -113,19 +117,87 @@ def listings(bodies: DataFrame, most: int | None = 10_000, most_bytes: int | Non
     return docs.select("url", is_index(F.col("text")).alias("index"), (locs if most is None else F.slice(locs, 1, most)).alias("locs"))
 
 
-def reached(found: DataFrame, indexes: DataFrame, most_levels: int = 10_000) -> DataFrame:
+def walk():
+    """Over rows (cell, side, a, b) sorted by cell and side: (domain, url, expanded) of what is reached within each cell.
+
+    Side 0 are steps from sitemap a to b, side 1 domains a that start at sitemap b.  What has no steps in its cell comes
+    out as not expanded.
+    """
+
+    def closures(steps: dict[str, list[str]], starts: dict[str, list[str]]) -> Iterator[tuple[str, str, bool]]:
+        for domain, begin in starts.items():
+            known, ahead = set(begin), list(begin)
+            while ahead:
+                url = ahead.pop()
+                yield domain, url, url in steps
+                more = [u for u in steps.get(url, ()) if u not in known]
+                known.update(more)
+                ahead += more
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: Iterator[tuple[str, str, bool]]) -> Iterator[pa.RecordBatch]:
+            while part := list(islice(rows, 8192)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=["domain", "url", "expanded"])
+
+        kinds, last = [pa.string(), pa.string(), pa.bool_()], None
+        sides: tuple[dict[str, list[str]], dict[str, list[str]]] = ({}, {})
+        for batch in batches:
+            for cell, side, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if cell != last:
+                    yield from out(closures(*sides))
+                    sides, last = ({}, {}), cell
+                sides[side].setdefault(a, []).append(b)
+        yield from out(closures(*sides))
+
+    return run
+
+
+def reached(found: DataFrame, indexes: DataFrame, most_levels: int | None = None) -> DataFrame:
     """(domain, sitemap_url): sitemaps reached from those found through index files (url, locs), each once for a domain.
 
-    Level by level until nothing is new, whatever the depth; circles of indexes end by themselves.  Beyond
-    ``most_levels`` it fails, it never stops short.
+    To any depth; circles of indexes end by themselves.  Steps from index to index are dealt into blocks, those of a host
+    together up to ``MOST_STEPS``, and a round walks each block to its end: rounds are as many as a path changes blocks.
+    With ``most_levels`` it goes level by level and fails beyond so many; it never stops short.
     """
+    found = found.select("domain", F.col("url").alias("sitemap_url")).distinct()
     edges = indexes.select(F.col("url").alias("sitemap_url"), F.explode(F.array_distinct("locs")).alias("child"))
-    level = cut(found.select("domain", F.col("url").alias("sitemap_url")).distinct())
-    seen, levels, n = SeenSet("domain", "sitemap_url"), [], level.count()
+    if most_levels is not None:
+        return reached_by_levels(found, edges, most_levels)
+    steps = edges.join(indexes.select(F.col("url").alias("child")).distinct(), "child", "left_semi")
+    steps = steps.withColumn("host", F.coalesce(F.lower(urls.netloc(F.col("sitemap_url"))), F.lit("")))
+    sizes = steps.groupBy("host").agg(F.ceil(F.count("*") / MOST_STEPS).alias("blocks"))
+    steps = steps.join(sizes, "host")
+    steps = cut(steps.select(F.xxhash64("host", F.pmod(F.xxhash64("sitemap_url"), "blocks")).alias("block"), "sitemap_url", "child"))
+    places = cut(steps.select("sitemap_url", "block").distinct())
+    seen = SeenSet("domain", "sitemap_url")
+    level = cut(found.join(indexes.select(F.col("url").alias("sitemap_url")).distinct(), "sitemap_url", "left_semi").select("domain", "sitemap_url"))
+    seen.add(level, level.count())
+    ahead = cut(level.join(places, "sitemap_url"))
+    while ahead.head() is not None:
+        salts = ahead.groupBy("block").agg(F.ceil(F.count("*") / MOST_STARTS).alias("salts"))
+        left = steps.join(salts, "block").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+        right = ahead.join(salts, "block").withColumn("salt", F.pmod(F.xxhash64("domain"), "salts"))
+        cell = F.xxhash64("block", "salt").alias("cell")
+        rows = left.select(cell, F.lit(0).alias("side"), F.col("sitemap_url").alias("a"), F.col("child").alias("b"))
+        rows = rows.unionByName(right.select(cell, F.lit(1).alias("side"), F.col("domain").alias("a"), F.col("sitemap_url").alias("b")))
+        rows = rows.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(walk(), "domain string, url string, expanded boolean")
+        met = rows.groupBy("domain", F.col("url").alias("sitemap_url")).agg(F.max("expanded").alias("expanded"))
+        new = cut(seen.unseen(met))
+        seen.add(new, new.count())
+        ahead = cut(new.where("not expanded").join(places, "sitemap_url").select("domain", "sitemap_url", "block"))
+    own = reduce(DataFrame.unionByName, [part for _, part, _ in seen.parts])
+    below = own.join(edges, "sitemap_url").select("domain", F.col("child").alias("sitemap_url"))
+    return found.unionByName(own).unionByName(below).distinct()
+
+
+def reached_by_levels(found: DataFrame, edges: DataFrame, most_levels: int) -> DataFrame:
+    """``reached`` with a job for each level."""
+    level = cut(found)
+    seen, levels, n = SeenSet("domain", "sitemap_url"), 0, level.count()
     while n:
-        if len(levels) >= most_levels:
+        if levels >= most_levels:
             raise RuntimeError(f"sitemaps are nested deeper than {most_levels} levels")
-        levels.append(level)
+        levels += 1
         seen.add(level, n)
         below = level.join(edges, "sitemap_url").select("domain", F.col("child").alias("sitemap_url")).distinct()
         level = cut(seen.unseen(below))
@@ -133,7 +205,7 @@ def reached(found: DataFrame, indexes: DataFrame, most_levels: int = 10_000) ->
     return reduce(DataFrame.unionByName, [part for _, part, _ in seen.parts]) if levels else level
 
 
-def pages_of(found: DataFrame, bodies: DataFrame, *, most: int | None = 10_000, index_locs: bool = False, most_levels: int = 10_000, most_bytes: int | None = MOST_BYTES) -> DataFrame:
+def pages_of(found: DataFrame, bodies: DataFrame, *, most: int | None = 10_000, index_locs: bool = False, most_levels: int | None = None, most_bytes: int | None = MOST_BYTES) -> DataFrame:
     """(domain, sitemap_url, pos, url): pages listed in sitemaps and in those their indexes name, to any depth.
 
     ``most``: the first locations of a sitemap that count, None for all.  ``most_bytes``: longer sitemaps do not count,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import clamp_column, words_column
 from ..functions import decoders, emails, html, scoring, sql, urls
@@ -348,14 +349,16 @@ def sitemap_priority(s, d):
 def sitemap_nested(s, d):
     """Pages behind circles of indexes: index i of a site names index i + 1 and the sitemaps of three pages."""
     rows = read(s, d, "pages").select(urls.normalise_domain(F.col("url")).alias("domain"), "page_id", "url")
-    listed = rows.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("l")).withColumn("n", F.ceil(F.size("l") / 3).cast("int"))
+    k = F.row_number().over(Window.partitionBy("domain").orderBy("page_id", "url")) - 1
+    pages = rows.select("domain", "url", k.alias("k"), F.floor(k / 3).cast("int").alias("i"))
+    listed = pages.groupBy("domain").agg((F.max("i") + 1).alias("n"))
     at = lambda kind, i: F.concat(F.lit("https://"), F.col("domain"), F.lit(f"/{kind}"), i.cast("string"), F.lit(".xml"))
     entry = lambda tag, u: F.concat(F.lit(f"<{tag}><loc>"), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit(f"</loc></{tag}>"))
-    index = listed.select("domain", "n", "l", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    own = F.transform(F.sequence(F.col("i") * 3, F.least(F.col("i") * 3 + 3, F.size("l")) - 1), lambda k: at("u", k))
+    index = pages.groupBy("domain", "i").agg(F.max("k").alias("last")).join(listed, "domain")
+    own = F.transform(F.sequence(F.col("i") * 3, F.col("last")), lambda k: at("u", k))
     inner = F.array_join(F.transform(F.concat(F.array(at("i", (F.col("i") + 1) % F.col("n"))), own), lambda u: entry("sitemap", u)), "")
     indexes = index.select(at("i", F.col("i")).alias("url"), F.concat(F.lit("<sitemapindex>"), inner, F.lit("</sitemapindex>")).alias("text"))
-    leaves = listed.select("domain", F.posexplode("l").alias("k", "p")).select(at("u", F.col("k")).alias("url"), F.concat(F.lit("<urlset>"), entry("url", F.col("p.url")), F.lit("</urlset>")).alias("text"))
+    leaves = pages.select(at("u", F.col("k")).alias("url"), F.concat(F.lit("<urlset>"), entry("url", F.col("url")), F.lit("</urlset>")).alias("text"))
     bodies = indexes.unionByName(leaves).select("url", F.encode("text", "UTF-8").alias("body"))
     return sitemaps.pages_of(listed.select("domain", at("i", F.lit(0)).alias("url")), bodies).select("domain", "sitemap_url", "url")
 

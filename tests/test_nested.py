@@ -1,5 +1,6 @@
 import gzip
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +84,26 @@ def test_filter_keeps_little_else(spark):
     rows = spark.range(99_900, 100_100).withColumnRenamed("id", "k")
     left = {r.k for r in seen.maybe(known, rows, ["k"]).collect()}
     assert left >= set(range(99_900, 100_000)) and len(left) < 110
+
+
+def test_long_circles_and_blocks_of_one_host(spark, monkeypatch):
+    """Circles of hundreds of indexes, within one block and over many."""
+    rnd, n, began = random.Random(8), 300, time.perf_counter()
+    at = lambda h, i: f"https://{h}.de/i{i}.xml"
+    files = {at(h, i): ("sitemapindex", [at(h, (i + 1) % n), f"https://{h}.de/u{i}.xml"]) for h in "ab" for i in range(n)}
+    files |= {f"https://{h}.de/u{i}.xml": ("urlset", [f"https://{h}.de/p{i}"]) for h in "ab" for i in range(n)}
+    files[at("a", 200)] = ("sitemapindex", [at("a", 201), at("b", 7), "https://none.de/x.xml"])  # into the other host
+    raw = bodies(spark, {u: sitemap(*x) for u, x in files.items()})
+    starts = [("a.de", at("a", 5)), ("a.de", at("a", 9)), ("b.de", at("b", 0)), ("c.de", "https://b.de/u3.xml")]
+    found = spark.createDataFrame(starts, "domain string, url string")
+    got = sorted(map(tuple, sitemaps.pages_of(found, raw).collect()))
+    assert time.perf_counter() - began < 60
+    want = [(d, f"https://{h}.de/u{i}.xml", 0, f"https://{h}.de/p{i}") for d, hs in (("a.de", "ab"), ("b.de", "b")) for h in hs for i in range(n) if (h, i) != ("a", 200)]
+    assert got == sorted([*want, ("c.de", "https://b.de/u3.xml", 0, "https://b.de/p3")])
+    monkeypatch.setattr(sitemaps, "MOST_STEPS", 10)
+    monkeypatch.setattr(sitemaps, "MOST_STARTS", 1)
+    small = {f"https://a.de/i{i}.xml": [f"https://a.de/i{j}.xml" for j in {(i + 1) % 40, rnd.randrange(60)}] for i in range(40)}
+    indexes = spark.createDataFrame(list(small.items()), "url string, locs array<string>")
+    found = spark.createDataFrame([(d, f"https://a.de/i{i}.xml") for d, i in (("a", 3), ("b", 17), ("b", 50))], "domain string, url string")
+    one = sorted(map(tuple, sitemaps.reached(found, indexes).collect()))
+    assert one == sorted(map(tuple, sitemaps.reached(found, indexes, 1000).collect())) and len(one) == len(set(one))
