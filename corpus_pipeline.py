@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, Jaccard similarity of 0.8 and more."""
+    """One document of each group of near duplicates stays: SimHash links and bands of minima, checked by a Jaccard similarity of 0.8."""
     return neardup.keep_one(docs)
 
 

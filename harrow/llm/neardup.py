@@ -1,6 +1,8 @@
-"""Near duplicates by exact Jaccard similarity of word shingles; MinHash bands only propose the candidates.
+"""Near duplicates by SimHash, checked by exact Jaccard similarity of word shingles; MinHash bands add candidates.
 
-Texts with the same set of shingles are one class.  Classes that share a band of minima meet in a bucket; buckets with
+Texts with the same set of shingles are one class.  Classes whose SimHash fingerprints are joined by links of a few
+differing bits (pivot distance tables, ``simhash.links``) meet in a bucket.  At a similarity of 0.8 fingerprints mostly
+differ by more, so classes that share a band of minima meet in a bucket as well; buckets with
 the same members are looked at once, and large ones are compared in blocks against blocks.  A bucket compares all its
 pairs exactly and passes on a spanning forest of the links, never all pairs.  Of pairs at the threshold of 0.8 a share
 of (1 - 0.8 ** ROWS) ** BANDS, 3e-6, has no band in common, and far fewer of more similar ones.
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_columns
 from .graph import components
-from .simhash import LOWER, keep_first, signed
+from .simhash import LOWER, RADIUS, fingerprint, keep_first, signed
+from .simhash import links as fingerprint_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -55,8 +58,9 @@ def make_bands(width: int, bands: int, rows: int):
     def run(cols: dict[str, list]) -> dict[str, list]:
         from xxhash import xxh64_intdigest
 
-        sids, out = [], []
+        sids, out, fps = [], [], []
         for text in cols["text"]:
+            fps.append(signed(fingerprint(text or "")))
             s = shingles(text or "", width)
             sids.append(signed(xxh64_intdigest(s.tobytes(), SEED)))
             low = np.full(len(salts), (1 << 64) - 1, dtype=np.uint64)
@@ -64,7 +68,7 @@ def make_bands(width: int, bands: int, rows: int):
                 x = s[at : at + 512, None] * salts
                 low = np.minimum(low, (x ^ (x >> np.uint64(29))).min(axis=0))
             out.append([signed(xxh64_intdigest(x.tobytes(), b)) for b, x in enumerate(low.reshape(bands, rows))])
-        return {"doc_id": cols["doc_id"], "text_key": cols["text_key"], "sid": sids, "bands": out}
+        return {"doc_id": cols["doc_id"], "text_key": cols["text_key"], "sid": sids, "fp": fps, "bands": out}
 
     return run
 
@@ -126,11 +130,20 @@ def bucket_links(similarity: float):
     return run
 
 
-def links(docs: DataFrame, own: DataFrame, *, width: int, similarity: float, block: int) -> DataFrame:
-    """(src, dst): a spanning forest of the similar classes, from docs and their doc_id, text_key, sid and bands."""
+def fingerprint_groups(own: DataFrame, radius: int) -> DataFrame:
+    """(sid, key): classes by the group of their fingerprints, those joined by links of at most ``radius`` bits."""
+    classes = cut(own.select("sid", "fp").distinct())
+    groups = components(fingerprint_links(classes.select("fp").distinct(), radius=radius))
+    root = F.coalesce("root", "fp")
+    return classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("sid", F.xxhash64(F.lit("fp"), root).alias("key")).distinct()
+
+
+def links(docs: DataFrame, own: DataFrame, *, width: int, similarity: float, radius: int, block: int) -> DataFrame:
+    """(src, dst): a spanning forest of the similar classes, from docs and their doc_id, text_key, sid, fp and bands."""
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("rep")
     classes = cut(own.groupBy("sid").agg(rep, F.first("bands").alias("bands")))
     rows = classes.select("sid", F.posexplode("bands").alias("band", "v")).select("sid", F.xxhash64("band", "v").alias("key"))
+    rows = rows.unionByName(fingerprint_groups(own, radius))
     met = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("sid").alias("members"), F.sum(F.shiftright("sid", 20)).alias("more")).where("n > 1")
     met = met.groupBy("n", "members", "more").agg(F.min("key").alias("key")).select("key", "n")
     rows = cut(rows.join(met, "key"))
@@ -145,7 +158,7 @@ def links(docs: DataFrame, own: DataFrame, *, width: int, similarity: float, blo
     return dealt.mapInArrow(bucket_links(similarity), "src long, dst long")
 
 
-def keep_one(docs: DataFrame, *, width: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+def keep_one(docs: DataFrame, *, width: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """One row of each group of near duplicates, all columns: that of the smallest doc_id, then of the smallest text hash.
 
     Groups are joined by pairs with at least this Jaccard similarity of their sets of word shingles; words are split at
@@ -153,8 +166,8 @@ def keep_one(docs: DataFrame, *, width: int = SHINGLE, similarity: float = SIMIL
     last; of rows equal in doc_id and text one stays.
     """
     slim = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
-    own = cut(map_columns(slim, "doc_id long, text_key long, sid long, bands array<long>", make_bands, width, bands, rows))
-    found = cut(links(slim, own, width=width, similarity=similarity, block=block))
+    own = cut(map_columns(slim, "doc_id long, text_key long, sid long, fp long, bands array<long>", make_bands, width, bands, rows))
+    found = cut(links(slim, own, width=width, similarity=similarity, radius=radius, block=block))
     comp = components(found).withColumnRenamed("node", "sid")
     own = own.select("doc_id", "text_key", "sid").join(comp, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     return keep_first(docs, own)

@@ -4,7 +4,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from harrow.llm import neardup
+from harrow.llm import neardup, simhash
 
 WORDS = [f"w{i}" for i in range(4000)]
 
@@ -64,3 +64,16 @@ def test_odd_rows(odd_docs, no_docs):
     ids = [r.doc_id for r in kept.collect()]
     assert {0, 5, 7} & set(ids) == {0, 5} and len(ids) == len(set(ids)) and not {1, 2, 6} & set(ids)
     assert neardup.keep_one(no_docs).count() == 0
+
+
+def test_fingerprints_propose_candidates(spark):
+    """A band of 400 minima proposes next to nothing: what is found here comes from links of fingerprints, checked exactly."""
+    rnd = random.Random(9)
+    rows = []
+    for _ in range(8):
+        base = [rnd.choice(WORDS) for _ in range(1500)]
+        rows += [" ".join(base), " ".join([*base[:-1], "other"])]
+    near = [bin(simhash.fingerprint(a) ^ simhash.fingerprint(b)).count("1") <= simhash.RADIUS for a, b in zip(rows[::2], rows[1::2], strict=True)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r.doc_id for r in neardup.keep_one(docs, bands=1, rows=400).collect()}
+    assert sum(near) > 4 and all(2 * i + 1 not in kept for i, x in enumerate(near) if x)
