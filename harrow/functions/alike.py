@@ -7,6 +7,9 @@ through ``scoring.partial_similarity``.
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil, comb
+
 import numpy as np
 
 #: Characters of a row of the table: one word.
@@ -162,3 +165,218 @@ def similar(a: list[str], b: list[str], threshold: float, rows: int = 64):
         v = ratios(s, i, t, j)
         good = v >= threshold
         yield i[good], j[good], v[good]
+
+
+#: Keys, candidates or hits held at once, and slots of the filter of keys.
+HELD, SLOTS = 1 << 22, 1 << 22
+#: What a key, a pair, and a choice of the first two places for one beginning cost, in nanoseconds; beginnings assumed before they are known.
+KEY_COST, PAIR_COST, PIECE_COST, BEGINNINGS = 130, 200, 110_000, 300
+#: Rows of a side that may be compared by pairs alone, where strings are longer than a word.
+ROWS = 4096
+
+
+class Many(Exception):
+    """More than ``HELD`` keys, candidates or hits."""
+
+
+def ways(n: int, k: int, span: int) -> int:
+    """Choices of k of n places that lie within ``span``."""
+    return sum(comb(min(span, n - i) - 1, k - 1) for i in range(n - k + 1))
+
+
+def index_cost(n: float, size: int, k: int, span: int, beginnings: int = BEGINNINGS) -> float:
+    """Nanoseconds for the keys of n strings of one length."""
+    pieces = sum(max(0, min(size - k + 2, i + span) - i - 1) for i in range(size - k + 1))
+    return KEY_COST * n * ways(size, k, span) + PIECE_COST * pieces * beginnings
+
+
+def by_index(n: float, m: int, others: dict[int, float], r: float, beginnings: int = BEGINNINGS) -> tuple[set[int], float]:
+    """Lengths of the others that n strings of m characters are laid against by an index, and what all of them cost."""
+    k = m - int(lost(np.array([m]), r)[0])
+    pairs = {size: PAIR_COST * n * c for size, c in others.items()}
+    if k < 2 or m > WORD:
+        return set(), sum(pairs.values())
+    span = min(m, k + m - ceil(r * m - 1e-9))
+    keys = {size: index_cost(c, size, k, span, beginnings) for size, c in others.items() if size <= WORD}
+    good = {size for size, c in keys.items() if c < pairs[size]}
+    own = index_cost(n, m, k, m, beginnings) + sum(keys[x] for x in good)
+    if own >= sum(pairs[x] for x in good):
+        return set(), sum(pairs.values())
+    return good, own + sum(c for x, c in pairs.items() if x not in good)
+
+
+class Parts:
+    """All subsequences of k characters within ``span`` of strings of one length n, those that begin with two characters at a time."""
+
+    def __init__(self, chars: np.ndarray, rows: np.ndarray, kinds: int, k: int, span: int):
+        self.chars, self.rows, n = chars[rows], rows, chars.shape[1]
+        self.weights = np.array([pow(kinds, i, 1 << 63) for i in range(k)], dtype=np.uint64).view(np.int64)
+        self.first, self.places = [], []
+        for i in range(n - k + 1):
+            for j in range(i + 1, min(n - k + 2, i + span)) if k > 1 else [i]:
+                rest = np.array(list(combinations(range(j + 1, min(n, i + span)), max(k - 2, 0))), dtype=np.int64)
+                if len(rest):
+                    code = self.chars[:, i] * kinds + (self.chars[:, j] if k > 1 else 0)
+                    order = np.argsort(code, kind="stable")
+                    self.first.append((code[order], order))
+                    self.places.append(rest)
+
+    def keys(self, code: int):
+        """(keys, rows) of the subsequences that begin so, some at a time."""
+        for (codes, order), rest in zip(self.first, self.places, strict=True):
+            lo, hi = np.searchsorted(codes, [code, code + 1])
+            step = max(1, (HELD >> 3) // len(rest))
+            for at in range(lo, hi, step):
+                rows = order[at : min(hi, at + step)]
+                own = self.chars[rows].astype(np.int64)
+                key = np.zeros((len(rows), len(rest)), np.int64)
+                for q in range(rest.shape[1]):
+                    key += np.take(own * self.weights[q], rest[:, q], axis=1)
+                yield key.reshape(-1), np.repeat(self.rows[rows], len(rest))
+
+
+def candidates(x: Strings, own: np.ndarray, m: int, y: Strings, others: np.ndarray, r: float):
+    """Pairs of strings own of x, all of m characters, and others of y, none shorter, that have a subsequence in common.
+
+    A pair that reaches r shares k = m - lost(m) characters in order with a stretch.  Of a stretch, the first k of them lie
+    within its length less what comes after: within k + (m less the fewest that a whole stretch must share) places.
+    """
+    k = m - int(lost(np.array([m]), r)[0])
+    span = min(m, k + m - ceil(r * m - 1e-9))
+    mine = Parts(x.chars[:, :m], own, x.kinds, k, m)
+    theirs = [Parts(y.chars[:, :n], others[y.lengths[others] == n], x.kinds, k, span) for n in np.unique(y.lengths[others]).tolist()]
+    for code in np.unique(np.concatenate([np.unique(c) for c, _ in mine.first])).tolist():
+        parts, n = [], 0
+        for their in theirs:  # they have fewer keys: these are sorted
+            for part in their.keys(code):
+                parts.append(part)
+                n += len(part[0])
+                if n > HELD:
+                    raise Many
+        if not parts:
+            continue
+        key, row = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.argsort(key)
+        key, row = key[order], row[order]
+        known = np.zeros(SLOTS, bool)
+        known[key & (SLOTS - 1)] = True
+        for other, i in mine.keys(code):
+            may = np.flatnonzero(known[other & (SLOTS - 1)])
+            other, i = other[may], i[may]
+            lo, hi = np.searchsorted(key, other, side="left"), np.searchsorted(key, other, side="right")
+            size = hi - lo
+            if size.sum() > HELD:
+                raise Many
+            if size.sum():
+                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+                yield np.repeat(i, size), row[at]
+
+
+def by_subsequences(a: list[str], b: list[str], threshold: float):
+    """As ``similar``, for many strings of at most 64 characters: by common subsequences where that is less than all pairs.
+
+    The strings of one length that are the shorter ones are laid against all others of that length or more: either by an
+    index of their subsequences, in parts if there is too much to hold, or pair by pair.  No pair is lost.
+    """
+    r = threshold / 100
+    known = letters(a, b)
+    s, t = Strings(a, known), Strings(b, known)
+    signs = {id(s): s.signs(), id(t): t.signs()}
+
+    def checked(x: Strings, own: np.ndarray, m: int, y: Strings, p: np.ndarray, q: np.ndarray, turned: bool):
+        """Of candidates those that count; a pair of equal length belongs to the side by which it counts, the first if both."""
+        d, marks, place = int(lost(np.array([m]), r)[0]), x.marks(own), np.searchsorted(own, p)
+        stays = np.zeros(len(p), bool)
+        for at in range(0, len(p), CHUNK):
+            c = slice(at, at + CHUNK)
+            stays[c] = common(marks, place[c], np.full(len(p[c]), m), y.chars, q[c], 0, int(y.lengths[q[c]].max())) >= m - d
+        p, q = p[stays], q[stays]
+        v = best(x, p, y, q)
+        good = v >= threshold
+        p, q, v = p[good], q[good], v[good]
+        same = np.flatnonzero(y.lengths[q] == m)
+        back = best(y, q[same], x, p[same])
+        v[same] = np.maximum(v[same], back)
+        good = np.ones(len(p), bool)
+        good[same] = (back < threshold) | (not turned)
+        return p[good], q[good], v[good]
+
+    def indexed(x, own, m, y, others, turned):
+        held, n, hits, found = [], 0, [], 0
+        for p, q in candidates(x, own, m, y, others, r):
+            held.append(p * len(y.texts) + q)
+            n += len(p)
+            if n > HELD >> 1:
+                hits.append(flushed(held, x, own, m, y, turned))
+                held, n, found = [], 0, found + len(hits[-1][0])
+                if found > HELD:
+                    raise Many
+        hits.append(flushed(held, x, own, m, y, turned))
+        pair, v = (np.concatenate(z) for z in zip(*hits, strict=True))
+        pair, at = np.unique(pair, return_index=True)
+        return pair // len(y.texts), pair % len(y.texts), v[at]
+
+    def flushed(held, x, own, m, y, turned):
+        pair = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+        p, q, v = checked(x, own, m, y, pair // len(y.texts), pair % len(y.texts), turned)
+        return p * len(y.texts) + q, v
+
+    def paired(x, own, m, y, others, turned):
+        d, step = int(lost(np.array([m]), r)[0]), max(1, (HELD >> 2) // len(others))
+        for at in range(0, len(own), step):
+            rows = own[at : at + step]
+            p, q = np.nonzero(np.bitwise_count(signs[id(x)][rows][:, None] & ~signs[id(y)][others]) <= d)
+            yield checked(x, rows, m, y, rows[p], others[q], turned)
+
+    def of_length(x, own, m, y, others, turned):
+        todo = [(own, others)]
+        while todo:
+            mine, theirs = todo.pop()
+            sizes, counts = np.unique(y.lengths[theirs], return_counts=True)
+            good, _ = by_index(len(mine), m, dict(zip(sizes.tolist(), counts.tolist(), strict=True)), r, x.kinds**2)
+            some = np.isin(y.lengths[theirs], sorted(good))
+            rest, theirs = theirs[~some], theirs[some]
+            if len(rest):
+                yield from paired(x, mine, m, y, rest, turned)
+            if len(theirs):
+                try:
+                    yield indexed(x, mine, m, y, theirs, turned)
+                except Many:  # in halves, at last pair by pair
+                    half, half2 = (len(mine) + 1) // 2, (len(theirs) + 1) // 2
+                    todo += [(i, j) for i in (mine[:half], mine[half:]) for j in (theirs[:half2], theirs[half2:]) if len(i) and len(j)]
+
+    for x, y, turned in ((s, t, False), (t, s, True)):
+        for m in np.unique(x.lengths).tolist():
+            own, others = np.flatnonzero(x.lengths == m), np.flatnonzero(y.lengths >= m)
+            if m and len(others):
+                for p, q, v in of_length(x, own, m, y, others, turned):
+                    yield (q, p, v) if turned else (p, q, v)
+
+
+def all_similar(a: list[str], b: list[str], threshold: float):
+    """As ``similar``, however many strings: those over 64 characters by pairs, in blocks, the others also by subsequences."""
+    parts = []
+    for x in (a, b):
+        size = np.fromiter(map(len, x), np.int64, len(x))
+        long = np.flatnonzero(size > WORD)
+        parts.append([np.flatnonzero(size <= WORD), *(long[i : i + ROWS] for i in range(0, len(long), ROWS))])
+    for k, i in enumerate(parts[0]):
+        for h, j in enumerate(parts[1]):
+            if not len(i) or not len(j):
+                continue
+            if not k and not h:
+                yield from ((i[p], j[q], v) for p, q, v in by_subsequences([a[p] for p in i.tolist()], [b[q] for q in j.tolist()], threshold))
+                continue
+            for lo in range(0, len(i), ROWS):
+                for lo2 in range(0, len(j), ROWS):
+                    own, other = i[lo : lo + ROWS], j[lo2 : lo2 + ROWS]
+                    yield from ((own[p], other[q], v) for p, q, v in similar([a[p] for p in own.tolist()], [b[q] for q in other.tolist()], threshold))
+
+
+def cost_of_cell(a: dict[int, float], b: dict[int, float], threshold: float) -> float:
+    """Nanoseconds that ``all_similar`` is expected to take for so many strings of each length."""
+    r, out = threshold / 100, 0.0
+    for x, y in ((a, b), (b, a)):
+        for m, n in x.items():
+            out += by_index(n, m, {size: c for size, c in y.items() if size >= m}, r)[1]
+    return out

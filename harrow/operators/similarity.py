@@ -1,9 +1,10 @@
 """Similarity joins: pairs of strings whose partial similarity reaches a threshold, all pairs, in cells of bounded size.
 
 Both sides are dealt into blocks by hash, and every block of one meets every block of the other in a cell of its own: a
-cell has so many rows whatever the strings are, so none is larger for a common letter or name.  Within a cell nearly all
-pairs are ruled out by a word of 64 bits for each string (``alike.similar``), the others are compared exactly.  No pair
-that counts is lost.  Pairs looked at are the product of both sides, by nature of the job.
+cell has so many rows whatever the strings are, so none is larger for a common letter or name.  Within a cell the strings of
+one length are laid against the others by an index of their common subsequences, or where all pairs cost less, nearly all
+of them are ruled out by a word of 64 bits for each string (``alike.all_similar``); what is left is compared exactly.  No
+pair that counts is lost.  The pairs that count may grow with the product of both sides, by nature of the job.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from ..runtime import cut
 
 #: Rows of a block, and below which number of rows more blocks do not pay.
 BLOCK, LEAST = 4096, 256
+#: Rows at most of a block of each side where subsequences are indexed.
+MOST = (1 << 16, 1 << 18)
 #: Tasks at most that cells are dealt to.
 TASKS = 8192
 
@@ -37,20 +40,40 @@ def compare(threshold: float):
         if not left.num_rows or not right.num_rows:
             return
         a, of_a = np.unique(left.column(3).to_numpy(zero_copy_only=False).astype(object), return_inverse=True)
-        parts = [right.column(k).to_pylist() for k in (3, 4)]
-        own = np.array([(x, k) for part in parts for k, x in enumerate(part) if x], dtype=object).reshape(-1, 2)
-        b, of_b = np.unique(own[:, 0], return_inverse=True)
-        host, less = own[:, 1].astype(np.int64), right.column(5).to_numpy()
+        p, q = (right.column(k).to_pylist() for k in (3, 4))
+        parts = [(x, k, 0) for k, x in enumerate(p) if x] + [(x, k, 1) for k, x in enumerate(q) if x and x != p[k]]
+        b, of_b = np.unique(np.array([x for x, _, _ in parts], dtype=object), return_inverse=True)
+        host, side, less = np.array([k for _, k, _ in parts], np.int64), np.array([k for _, _, k in parts], np.int64), right.column(5).to_numpy()
+        parts_of = np.full((2, right.num_rows), -1)
+        parts_of[side, host] = of_b
         by_a, by_b = np.argsort(of_a, kind="stable"), np.argsort(of_b, kind="stable")
         first_a, first_b = np.searchsorted(of_a[by_a], np.arange(len(a) + 1)), np.searchsorted(of_b[by_b], np.arange(len(b) + 1))
-        for i, j, v in alike.similar(a.tolist(), b.tolist(), threshold):
-            pair, at = spread(first_b, j)
-            h, i, v = host[by_b[at]], i[pair], v[pair]
-            order = np.lexsort((-v, h, i))
-            h, i, v = h[order], i[order], v[order]
-            best = np.r_[True, (h[1:] != h[:-1]) | (i[1:] != i[:-1])][: len(h)]
+        a, b, every = a.tolist(), b.tolist(), []
+
+        def other_parts(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            if not every:
+                known = alike.letters(a, b)
+                every.extend((alike.Strings(a, known), alike.Strings(b, known)))
+            return alike.ratios(every[0], i, every[1], j)
+
+        def found() -> Iterator[tuple]:
+            for x in np.unique(less).tolist():  # what is taken off a host's score raises what its parts must reach
+                own, bound = np.unique(of_b[less[host] == x]), threshold + x - (1e-9 if x else 0)
+                if len(own) and bound <= 100:
+                    for i, j, v in alike.all_similar(a, [b[k] for k in own.tolist()], bound):
+                        pair, at = spread(first_b, own[j])
+                        at = by_b[at]
+                        same = less[host[at]] == x
+                        yield host[at[same]], side[at[same]], i[pair[same]], v[pair[same]], bound
+
+        for h, k, i, v, bound in found():
+            beside = parts_of[1 - k, h]
+            two = np.flatnonzero(beside >= 0)
+            v_beside = other_parts(i[two], beside[two]) if len(two) else np.zeros(0)
+            v[two] = np.maximum(v[two], v_beside)
             score = np.maximum(0.0, v - less[h])
-            good = best & (score >= threshold)
+            good = score >= threshold
+            good[two] &= (k[two] == 0) | (v_beside < bound)  # a host found by both parts comes with the first
             pair, at = spread(first_a, i[good])
             yield pa.RecordBatch.from_arrays(
                 [left.column(2).take(pa.array(by_a[at])).combine_chunks(), right.column(2).take(pa.array(h[good][pair])).combine_chunks(), pa.array(score[good][pair])],
@@ -80,13 +103,34 @@ def spread(first: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pair, np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + first[j][pair]
 
 
+def blocks(left: DataFrame, right: DataFrame, threshold: float, least: int) -> tuple[int, int]:
+    """Numbers of blocks of both sides: of ``BLOCK`` rows, or of more where an index of subsequences then makes up for it."""
+    n, m = left.count(), right.count()
+    small = tuple(max(math.ceil(x / BLOCK), min(least, math.ceil(x / LEAST)), 1) for x in (n, m))
+    if n * m <= BLOCK * BLOCK * least:
+        return small
+    na = max(math.ceil(n / MOST[0]), min(2 * least, math.ceil(math.sqrt(4 * least * n / m))))
+    large = na, max(math.ceil(m / MOST[1]), math.ceil(2 * least / na))
+    rows = right.withColumn("part", F.explode(F.array_distinct(F.array(F.coalesce("p", F.lit("")), F.coalesce("q", F.lit(""))))))
+    own = {x.m: x.n for x in left.groupBy(F.length("p").alias("m")).agg(F.count("*").alias("n")).collect() if x.m}
+    others: dict[float, dict[int, int]] = {}
+    for x in rows.where("part != ''").groupBy("less", F.length("part").alias("m")).agg(F.countDistinct("part").alias("n")).collect():
+        others.setdefault(x.less, {})[x.m] = x.n
+
+    def cost(na: int, nb: int) -> float:
+        cells = ((threshold + less, {k: c / nb for k, c in sizes.items()}) for less, sizes in others.items() if threshold + less <= 100)
+        return na * nb * sum(alike.cost_of_cell({k: c / na for k, c in own.items()}, sizes, bound) for bound, sizes in cells)
+
+    return large if 2 * cost(*large) < cost(*small) else small
+
+
 def met(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(name, other, score) of left (name, p) and right (name, p, q, less): each block of one in a cell with each of the other."""
     if not 0 < threshold <= 100:
         raise ValueError("threshold must be above 0 and at most 100")
     least = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left, right = cut(left), cut(right)
-    na, nb = (max(math.ceil(n / BLOCK), min(least, math.ceil(n / LEAST)), 1) for n in (left.count(), right.count()))
+    na, nb = blocks(left, right, threshold, least)
 
     def dealt(rows: DataFrame, side: int, blocks: int, others: int) -> DataFrame:
         rows = rows.withColumn("own", F.pmod(F.xxhash64("name", "p"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))

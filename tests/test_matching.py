@@ -1,9 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from harrow.functions import scoring
+from harrow.functions import alike, scoring
 from harrow.operators import similarity, suffixes
 from harrow.sources import readers
 
@@ -92,3 +93,27 @@ def test_suffix_edges(spark):
 def test_suffix_file(spark, tmp_path):
     (tmp_path / "list.dat").write_text("// ===BEGIN ICANN DOMAINS===\nuk\nco.uk  // x\n\n// ===BEGIN PRIVATE DOMAINS===\ngithub.io\n")
     assert sorted(map(tuple, readers.suffix_rules(spark, str(tmp_path / "list.dat")).collect())) == [("co.uk", False), ("github.io", True), ("uk", False)]
+
+
+@pytest.mark.parametrize("threshold", [40, 70, 90])
+@pytest.mark.parametrize("held", [1 << 22, 2000])
+def test_index_of_subsequences_loses_none(monkeypatch, threshold, held):
+    """A cell by the index alone, whole or in halves: each pair once, deductions and hosts of two parts included."""
+    monkeypatch.setattr(alike, "PAIR_COST", 10**12)
+    monkeypatch.setattr(alike, "HELD", held)
+    rnd = random.Random(threshold)
+    names = sorted({word(rnd, rnd.choice([2, 3, 5, 9, 11]), "abcdef") for _ in range(60)} | {"a" * 70})
+    hosts = [(x[:2] + x[3:], rnd.choice(["", x, x[:5], x[::-1]]), rnd.choice([0.0, 0.0, 25.0])) for x in names]
+    hosts += [(word(rnd, rnd.choice([1, 4, 9, 12]), "abcdefg"), word(rnd, 5, "abc"), 0.0) for _ in range(40)] + [("a" * 80, "", 0.0), ("abc", "abc", 0.0)]
+    rows = [(0, 0, x, x, None, 0.0) for x in names] + [(0, 1, str(k), p, q, less) for k, (p, q, less) in enumerate(hosts)]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["cell", "side", "name", "p", "q", "less"])
+    got = [tuple(r.values()) for b in similarity.compare(threshold)(iter([batch])) for r in b.to_pylist()]
+    every = {(x, str(k)): max(0.0, max(scoring.partial_similarity(x, p), scoring.partial_similarity(x, q)) - less) for x in names for k, (p, q, less) in enumerate(hosts)}
+    assert sorted(got) == sorted((x, k, v) for (x, k), v in every.items() if v >= threshold)
+
+
+def test_index_costs_less_than_pairs():
+    """At many hosts the expected cost of a pair falls; all pairs cost the same each."""
+    cost = [alike.cost_of_cell({14: n}, {13: n, 14: n, 18: n}, 70) / n**2 for n in (4096, 65536)]
+    assert cost[1] < cost[0] / 5
